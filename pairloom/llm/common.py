@@ -33,3 +33,10 @@ def spool(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/pairloom-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Keep Arrow batches of whole texts small, so that a Python worker's memory doesn't follow the table."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name, "10000")) > rows:
+        spark.conf.set(name, str(rows))
