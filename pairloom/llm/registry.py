@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pairloom.llm import packing, sharding, simhash
+from pairloom.llm import packing, sharding, simhash, substrings
 from pairloom.llm.common import table
 
 
@@ -15,6 +16,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substrings.strip_repeats(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "stripped.n_words", "stripped.n_removed", F.sha2(F.col("stripped.kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -26,6 +32,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_sharding": op2_sharding,
+        "op4_substring_dedup": op4_substring_dedup,
         "op6_simhash": op6_simhash,
         "op10_packing": op10_packing,
     }
