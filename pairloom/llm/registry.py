@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import packing, quality, sharding, simhash, substrings
+from pairloom.llm import media, packing, quality, sharding, simhash, substrings
 from pairloom.llm.common import table
 
 
@@ -21,6 +21,21 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "stripped.n_words", "stripped.n_removed", F.sha2(F.col("stripped.kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = media.media_columns(table(spark, sf_dir, "documents"))
+    return read.select(
+        F.col("key").alias("doc_id"),
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -64)")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+        "error",
+    )
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -38,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_sharding": op2_sharding,
         "op4_substring_dedup": op4_substring_dedup,
+        "op5_media": op5_media,
         "op6_simhash": op6_simhash,
         "op9_quality": op9_quality,
         "op10_packing": op10_packing,
