@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import media, packing, quality, sharding, simhash, substrings
+from pairloom.llm import media, packing, pieces, quality, sharding, simhash, substrings
 from pairloom.llm.common import table
 
 
@@ -40,6 +40,13 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = pieces.encode_nbest(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    figures = encoded.select("doc_id", F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).alias("text_crc32"), pieces.digest_column(F.col("encoded"), path).alias("d"))
+    return figures.select("doc_id", "d.n_pieces", "d.ids_crc32", "d.score", "d.others", (F.col("d.decoded_crc32") == F.col("text_crc32")).alias("round_trip"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
@@ -55,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_substring_dedup": op4_substring_dedup,
         "op5_media": op5_media,
         "op6_simhash": op6_simhash,
+        "op8_pieces": op8_pieces,
         "op9_quality": op9_quality,
         "op10_packing": op10_packing,
     }
