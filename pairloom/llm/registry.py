@@ -8,10 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import media, packing, pieces, quality, sharding, simhash, substrings
+from pairloom.llm import chat, licenses, media, packing, pieces, quality, sharding, simhash, substrings
 from pairloom.llm.common import table
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), licenses.known_digests(spark))
+    return found.select("doc_id", "license.digest", "license.license_id", F.array_join("license.notices", ",").alias("notices"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
 
@@ -40,6 +45,13 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
+    formed = chat.format_preferences(chat.last_reply_pairs(table(spark, sf_dir, "conversations")))
+    own = formed.select("conv_id", "preference.*")
+    return own.withColumns({c: spans(c) for c in ("chosen_spans", "rejected_spans")})
+
+
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
     encoded = pieces.encode_nbest(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
@@ -58,10 +70,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_licenses": op1_licenses,
         "op2_sharding": op2_sharding,
         "op4_substring_dedup": op4_substring_dedup,
         "op5_media": op5_media,
         "op6_simhash": op6_simhash,
+        "op7_chat": op7_chat,
         "op8_pieces": op8_pieces,
         "op9_quality": op9_quality,
         "op10_packing": op10_packing,
@@ -69,4 +83,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_licenses": licenses.scan_sql(), "op7_chat": chat.LAST_REPLY_SQL}
