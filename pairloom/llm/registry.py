@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import chat, licenses, media, packing, pieces, quality, sharding, simhash, substrings
+from pairloom.llm import chat, licenses, media, neighbours, packing, pieces, quality, sharding, simhash, substrings
 from pairloom.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = substrings.strip_repeats(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "stripped.n_words", "stripped.n_removed", F.sha2(F.col("stripped.kept").cast("binary"), 256).alias("kept_sha256"))
@@ -72,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_licenses": op1_licenses,
         "op2_sharding": op2_sharding,
+        "op3_neighbours": op3_neighbours,
         "op4_substring_dedup": op4_substring_dedup,
         "op5_media": op5_media,
         "op6_simhash": op6_simhash,
