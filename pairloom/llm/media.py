@@ -14,6 +14,7 @@ Folders are opened through pyarrow.fs, so that any store with a URI that it know
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import time
 import uuid
@@ -33,8 +34,8 @@ from pairloom.llm.common import bounded_batches, shared_dir
 
 ROW = 64
 ARCHIVE_BYTES = 64 << 20
-RANGE_BYTES = 8 << 20
-BATCH_BYTES = 4 << 20
+RANGE_BYTES = 16 << 20
+BATCH_BYTES = 2 << 20
 PNG_HEAD = b"\x89PNG\r\n\x1a\n"
 
 
@@ -77,6 +78,14 @@ def from_png(media: bytes) -> tuple[bytes, int]:
     return lines[:, 1:].tobytes(), n
 
 
+def sample_features(payload: bytes) -> str:
+    """Mean, variance, crossings of the mean, and energy of the first difference, of the 8-bit samples."""
+    x = np.frombuffer(payload, np.uint8).astype(np.int64)
+    n, total, square = len(x), int(x.sum()), int((x * x).sum())
+    step, above = np.diff(x), x * n >= total
+    return f"mean={total / n:.6f};var={(square - total * total / n) / n:.6f};cross={int((above[1:] != above[:-1]).sum())};step={int((step * step).sum())}"
+
+
 def _folder(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
@@ -145,6 +154,7 @@ class _Reader(DataSourceReader):
         self.range = int(options.get("rangeBytes", RANGE_BYTES))
         self.batch = int(options.get("batchBytes", BATCH_BYTES))
         self.tries = int(options.get("tries", 3))
+        self.with_media = options.get("media", "false").lower() == "true"
 
     def partitions(self) -> list[InputPartition]:
         store, folder = _folder(self.uri)
@@ -189,7 +199,9 @@ class _Reader(DataSourceReader):
         for info in members:
             media, payload, n, error = self._member(store, partition.path, info)
             key = info.filename.rpartition("/")[2].removesuffix(".png")
-            rows.append((int(key) if key else None, partition.path, info.header_offset, n, media, payload, error))
+            stored = (None, None) if media is None else (len(media), hashlib.sha256(media).hexdigest())
+            feature = None if payload is None else sample_features(payload)
+            rows.append((int(key) if key else None, partition.path, info.header_offset, n, *stored, media if self.with_media else None, payload, feature, error))
             held += len(media or b"") + len(payload or b"")
             if held >= self.batch:
                 yield self._batch(rows)
@@ -199,7 +211,7 @@ class _Reader(DataSourceReader):
 
     @staticmethod
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.string()]
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.string(), pa.string()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.name for f in MEMBER.fields])
 
 
@@ -209,15 +221,19 @@ MEMBER = T.StructType(
         T.StructField("archive", T.StringType()),
         T.StructField("offset", T.LongType()),
         T.StructField("n_bytes", T.LongType()),
+        T.StructField("media_bytes", T.LongType()),
+        T.StructField("media_sha256", T.StringType()),
         T.StructField("media", T.BinaryType()),
         T.StructField("payload", T.BinaryType()),
+        T.StructField("feature", T.StringType()),
         T.StructField("error", T.StringType()),
     ]
 )
 
 
 class MediaArchive(DataSource):
-    """spark.read.format("media_archive").load(uri); options rangeBytes, batchBytes and tries (of each member)."""
+    """spark.read.format("media_archive").load(uri); options rangeBytes, batchBytes, tries (of each member), and media
+    (true: the stored bytes come along too, else null with their size and digest only)."""
 
     @classmethod
     def name(cls) -> str:
@@ -231,29 +247,13 @@ class MediaArchive(DataSource):
 
 
 def read_archives(spark: SparkSession, uri: str, **options) -> DataFrame:
-    """One row a member: key, archive, offset, n_bytes, media, payload, error (null where the member was read)."""
+    """One row a member: key, archive, offset, n_bytes, media_bytes, media_sha256, media, payload, feature, error (null where the member was read)."""
     spark.dataSource.register(MediaArchive)
     return spark.read.format("media_archive").options(**{k: str(v) for k, v in options.items()}).load(uri)
 
 
-@F.arrow_udf(T.StringType())
-def sample_features(payloads: pa.Array) -> pa.Array:
-    """Mean, deviation, zero crossings about the mean, and energy of the first difference, of the 8-bit samples."""
-    out = []
-    for p in payloads:
-        if not p.is_valid:
-            out.append(None)
-            continue
-        x = np.frombuffer(p.as_py(), np.uint8).astype(np.int64)
-        n, total, square = len(x), int(x.sum()), int((x * x).sum())
-        step = np.diff(x)
-        above = x * n >= total
-        out.append(f"mean={total / n:.6f};var={(square - total * total / n) / n:.6f};cross={int((above[1:] != above[:-1]).sum())};step={int((step * step).sum())}")
-    return pa.array(out, pa.string())
-
-
 def media_columns(docs: DataFrame, text: str = "text", key: str = "doc_id", uri: str | None = None, **options) -> DataFrame:
-    """One row a document: key, archive, offset, n_bytes, media, payload, error, feature; read back from archives.
+    """One row a document: what read_archives gives; read back from archives.
 
     A null or empty text is a payload of 64 bytes 0. Repeated rows are members of their own; a null doc_id
     stays null; an empty table gives no rows. Equal texts give equal media, payload and feature. Other columns
@@ -262,5 +262,4 @@ def media_columns(docs: DataFrame, text: str = "text", key: str = "doc_id", uri:
     spark = docs.sparkSession
     uri = uri or f"{shared_dir(spark)}/pairloom-media-{uuid.uuid4().hex}"
     write_archives(docs, uri, text, key)
-    read = read_archives(spark, uri, **options)
-    return read.withColumn("feature", sample_features(F.col("payload")))
+    return read_archives(spark, uri, **options)

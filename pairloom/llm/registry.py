@@ -38,8 +38,8 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length("payload").cast("long").alias("payload_bytes"),
         F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(F.expr("substring(payload, -64)")).alias("tail_crc32"),
-        F.octet_length("media").cast("long").alias("media_bytes"),
-        F.sha2("media", 256).alias("media_sha256"),
+        "media_bytes",
+        "media_sha256",
         "feature",
         "error",
     )
