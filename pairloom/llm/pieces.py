@@ -13,6 +13,7 @@ import functools
 import heapq
 import zlib
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,9 @@ class PieceModel:
         spelled = {int(sp.id_to_piece(i)[1:-1], 16): i for i in range(sp.get_piece_size()) if sp.is_byte(i)}
         self.spelled = [spelled.get(b, sp.unk_id()) for b in range(256)]
         self.text |= {i: bytes([b]) for b, i in spelled.items()}
-        self.longest = max(map(len, self.pieces))
+        #: every prefix of a piece, with the piece's (id, score) or () where it is only a prefix
+        self.prefixes: dict[str, tuple] = {p[:k]: () for p in self.pieces for k in range(1, len(p))}
+        self.prefixes |= self.pieces
         used = [s for _, s in self.pieces.values() if s > -1e8]
         self.spell_score = min(used) - SPELL_PENALTY
         # which characters may stand next to each other within a piece
@@ -66,12 +69,14 @@ class PieceModel:
         return tuple(self.spelled[b] for b in c.encode())
 
     def _edges(self, part: str, i: int) -> Iterator[tuple[int, tuple[int, ...], float]]:
-        """(end, ids, score) of the lattice's edges from position i."""
-        got = self.pieces.get
-        single = got(part[i])
+        """(end, ids, score) of the lattice's edges from position i; a character that is no piece is spelled."""
+        get, single = self.prefixes.get, self.pieces.get(part[i])
         yield (i + 1, (single[0],), single[1]) if single else (i + 1, self._spell(part[i]), self.spell_score)
-        for j in range(i + 2, min(len(part), i + self.longest) + 1):
-            if p := got(part[i:j]):
+        for j in range(i + 2, len(part) + 1):
+            p = get(part[i:j])
+            if p is None:
+                return
+            if p:
                 yield j, (p[0],), p[1]
 
     def best(self, part: str) -> tuple[bytes, int, float, float]:
@@ -79,23 +84,34 @@ class PieceModel:
 
         Among equal scores the smaller last id wins.
         """
-        n = len(part)
-        first, second, back = [0.0] + [NOTHING] * n, [NOTHING] * (n + 1), [None] * (n + 1)
+        n, get = len(part), self.prefixes.get
+        first, second, last, back = [NOTHING] * (n + 1), [NOTHING] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+        first[0] = 0.0
         for i in range(n):
-            a, b = first[i], second[i]
-            for j, ids, s in self._edges(part, i):
-                v, w = a + s, b + s
-                if v > first[j] or (v == first[j] and ids < back[j][1]):
-                    second[j] = max(w, first[j])
-                    first[j], back[j] = v, (i, ids)
+            a = first[i]
+            for j in range(i + 1, n + 1):
+                p = get(part[i:j])
+                if not p:
+                    if j > i + 1:
+                        if p is None:
+                            break
+                        continue
+                    p = (self.spelled[part[i].encode()[0]], self.spell_score)
+                v = a + p[1]
+                top = first[j]
+                if v > top or (v == top and p[0] < last[j]):
+                    w = second[i] + p[1]
+                    second[j] = w if w > top else top
+                    first[j], last[j], back[j] = v, p[0], i
                 elif v > second[j]:
                     second[j] = v
         out, at = [], n
         while at:
-            at, ids = back[at]
-            out.append(ids)
+            i = back[at]
+            out.append((last[at],) if at > i + 1 or part[i] in self.pieces else self._spell(part[i]))
+            at = i
         flat = [i for ids in reversed(out) for i in ids]
-        return np.array(flat, "<i4").tobytes(), len(flat), first[n], first[n] - second[n]
+        return pack(f"<{len(flat)}i", *flat), len(flat), first[n], first[n] - second[n]
 
     def alternatives(self, part: str, n_best: int) -> list[tuple[float, list[int]]]:
         """The n best (score, ids) of a part: A* from the end; the forward scores are what is still to come, exactly.
