@@ -108,10 +108,11 @@ def _verify(x: np.ndarray, ids: np.ndarray, px: np.ndarray, q: np.ndarray, pq: n
     near = near[np.argsort(squares[near], kind="stable")]
     at, step, best_at, best = 0, 4 * keep, np.empty(0, np.int64), np.empty(0)
     base = float(q @ q) + tree.max_square
+    known = (base - radius) / 2  # the keep-th best score of earlier rounds: what lies below it cannot matter
     while at < len(near) and squares[near[at]] <= spread * radius:
         part = near[at : at + step]
         rough = x[part] @ q
-        floor = best[-1] if len(best) == keep else -np.inf
+        floor = max(known, best[-1] if len(best) == keep else -np.inf)
         part = part[rough >= floor - 1e-9 * (1 + abs(floor))] if np.isfinite(floor) else part
         exact = (x[part] * q).sum(axis=1)  # row by row, so that equal vectors score equally wherever they are
         all_at, scores = np.concatenate([best_at, part]), np.concatenate([best, exact])
