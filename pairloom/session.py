@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -22,3 +26,26 @@ def local_session(app: str = "pairloom", cpus: int | None = None, partitions: in
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that driver and executors share; a temporary one only where none is configured."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/pairloom"
+    return f"{root.rstrip('/')}/pairloom-{label}-{uuid.uuid4().hex}"
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors' Python workers, once an application, so that nothing has to be installed there."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="pairloom-ship-")) / "pairloom.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _SHIPPED.add(app)
