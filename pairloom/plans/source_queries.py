@@ -38,8 +38,9 @@ def s3(spark, d):
 def s4(spark, d):
     path = scratch(spark, "identity")
     i = F.when(F.col("l_linenumber") == 1, F.concat(F.lit("#"), "domain_i")).otherwise(F.col("domain_i"))
-    rows = v.pairs(spark, d, ["l_linenumber"]).select(i.alias("seq1"), F.col("domain_j").alias("seq2"), F.col("score").alias("sequence_identity"))
-    sinks.write_pairs(rows, path, "\t", header=True)
+    lines = v.pairs(spark, d, ["l_linenumber"]).select(F.concat_ws("\t", i, "domain_j", F.col("score").cast("string")).alias("value"))
+    header = spark.range(1).select(F.lit("seq1\tseq2\tsequence_identity").alias("value"))
+    sinks.write_lines(header.unionByName(lines), path)
     return readers.read_identity_pairs(spark, path)
 
 
@@ -140,12 +141,12 @@ def _pdb(spark, d):
     return rows.select(F.concat(F.lit("U"), "unit").alias("unit"), "ord", F.format_string(PDB_LINE, kind, F.col("ord"), F.col("atom_name"), alt, F.col("res_name"), F.col("chain"), F.col("res_id"), "x", "y", "z").alias("value"))
 
 
-@query("s13_pdb_atoms", "SELECT res_id, chain, res_name, atom_name, alt_loc, hetero, count(*) AS n, round(sum(round(x, 2)), 1) AS x FROM atoms WHERE model = 1 AND length(res_name) <= 3 GROUP BY ALL", "atoms")
+@query("s13_pdb_atoms", "SELECT res_id, chain, res_name, atom_name, alt_loc, hetero, count(*) AS n, round(sum(round(x, 3)), 3) AS x FROM atoms WHERE model = 1 AND length(res_name) <= 3 GROUP BY ALL", "atoms")
 def s13(spark, d):
     path = scratch(spark, "pdb")
     _pdb(spark, d).repartition("unit").sortWithinPartitions("unit", "ord").select("value").write.text(path)
     rows = readers.read_pdb(spark, path)
-    return rows.groupBy("res_id", "chain", "res_name", "atom_name", "alt_loc", "hetero").agg(F.count("*").alias("n"), F.round(F.sum(F.round("x", 2)), 1).alias("x"))
+    return rows.groupBy("res_id", "chain", "res_name", "atom_name", "alt_loc", "hetero").agg(F.count("*").alias("n"), F.round(F.sum("x"), 3).alias("x"))
 
 
 @query("s13_mmcif_atoms", "SELECT chain, res_name, count(*) AS n FROM atoms WHERE model = 1 GROUP BY ALL", "atoms")
@@ -273,7 +274,7 @@ def t2(spark, d):
     def write(batch, number):
         batch.write.mode("overwrite").parquet(f"{sink}/{number}")
 
-    streams.each_batch(streams.reservoirs(stream, 5, 20, "key"), write, check)
+    streams.each_batch(streams.reservoirs(stream, 5, 20, "key"), write, check, "update")
     last = spark.read.parquet(f"{sink}/0")
     return last.groupBy("bin").agg(F.count("*").alias("n"), F.max("key").alias("last"))
 

@@ -73,7 +73,9 @@ def read_fasta(spark: SparkSession, path: str, whole_header: bool = False, alpha
     The header is its first word, and of records with one header the last counts; with whole_header it is the
     whole line, and all records stay. With an alphabet, sequences with other letters are left out.
     """
-    cut = _records(spark, path).select("at", F.trim(F.substring_index("record", "\n", 1)).alias("line"), F.expr("regexp_replace(substr(record, length(substring_index(record, '\n', 1)) + 1), '[[:space:]]', '')").alias("sequence"))
+    line = F.substring_index("record", "\n", 1)
+    body = F.regexp_replace(F.substr("record", F.length(line) + 1), r"\s", "")
+    cut = _records(spark, path).select("at", F.trim(line).alias("line"), body.alias("sequence"))
     rows = cut if alphabet is None else cut.where(F.col("sequence").rlike(f"^[{re.escape(alphabet)}]*$"))
     if whole_header:
         return rows.select(F.col("line").alias("header"), "sequence")

@@ -53,9 +53,9 @@ def reservoirs(pairs: DataFrame, n: int, cap: int, key: str) -> DataFrame:
     return rows.groupBy("bin").applyInPandasWithState(keep, schema, state, "update", GroupStateTimeout.NoTimeout)
 
 
-def each_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+def each_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     """Hand every batch to `write`, once; a batch that was written before a failure comes again with its number."""
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def epoch_metric(events: DataFrame, epoch: str, prediction: str, target: str) -> DataFrame:
