@@ -49,17 +49,22 @@ def substitution() -> np.ndarray:
     return table[np.ix_(code, code)]
 
 
-def identity(a: str, b: str, scores: np.ndarray, opening: float = 10.0, extending: float = 1.0) -> float:
-    """Matches over the shorter length of an optimal global alignment with affine gaps, which cost nothing at the ends.
-
-    Of alignments that score the same, the trace from the end prefers a pair of residues, then a gap in b, then
-    one in a. An empty sequence has identity 0; letters other than A-Z make it NaN.
-    """
+def identity(a: str, b: str, scores: np.ndarray) -> float:
+    """Matches over the shorter length of an optimal alignment. An empty sequence has identity 0; letters other than
+    A-Z make it NaN."""
     if not a or not b:
         return 0.0
     if not (a.isascii() and a.isalpha() and b.isascii() and b.isalpha()):
         return float("nan")
-    a, b = a.upper(), b.upper()
+    return align(a.upper(), b.upper(), scores)[1] / min(len(a), len(b))
+
+
+def align(a: str, b: str, scores: np.ndarray, opening: float = 10.0, extending: float = 1.0) -> tuple[float, int]:
+    """(score, equal pairs) of an optimal global alignment with affine gaps, which cost nothing at the ends.
+
+    Of alignments that score the same, the trace from the end prefers a pair of residues, then a gap in b, then
+    one in a.
+    """
     x, y = np.frombuffer(a.encode(), np.uint8), np.frombuffer(b.encode(), np.uint8)
     n, m = len(x), len(y)
     pair = scores[np.ix_(x, y)]
@@ -100,7 +105,7 @@ def identity(a: str, b: str, scores: np.ndarray, opening: float = 10.0, extendin
             if left[i, j] == best[i, j - 1] - (0 if i == n else opening):
                 state = "best"
             j -= 1
-    return matches / min(n, m)
+    return float(best[n, m]), matches
 
 
 def _align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
