@@ -62,18 +62,29 @@ def segments(words: list[bytes], window: int = 50) -> tuple[np.ndarray, np.ndarr
     return grams[at[first]], content, first, count
 
 
+CUT = "row long, id long, minimiser long, content long, place long, more array<long>"
+
+
 def _cut(window: int):
-    """Documents to segments; equal segments of one document stay apart, for each is to be cut."""
+    """Documents to their different segments: where each stands first, and where else (null if nowhere)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = [segments((t.as_py() or "").encode().split(), window) for t in b.column(2)]
-            n = [len(p[0]) for p in parts]
-            keys, content, first, count = (np.concatenate([p[k] for p in parts]) if parts else np.empty(0) for k in range(4))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(b.column(0).to_numpy(), n)), pa.array(np.repeat(b.column(1).to_numpy(), n)), pa.array(keys.view(np.int64)), pa.array(content.view(np.int64)), pa.array((first << 16 | count).astype(np.int64))],
-                names=["row", "id", "minimiser", "content", "place"],
-            )
+            owner, kept, more = [], [], []
+            for k, text in enumerate(b.column(2)):
+                keys, content, first, count = segments((text.as_py() or "").encode().split(), window)
+                place = first << 16 | count
+                order = np.lexsort((place, content, keys))
+                new = np.flatnonzero(np.concatenate([[True], (keys[order][1:] != keys[order][:-1]) | (content[order][1:] != content[order][:-1])])) if len(order) else order
+                ends = np.append(new, len(order))[1:]
+                owner.append(np.full(len(new), k))
+                kept.append((keys[order[new]], content[order[new]], place[order[new]]))
+                more += [place[order[x + 1 : y]] if y > x + 1 else None for x, y in zip(new.tolist(), ends.tolist(), strict=True)]
+            owner = np.concatenate(owner) if owner else np.empty(0, np.int64)
+            keys, content, place = (np.concatenate([p[k] for p in kept]) if kept else np.empty(0, np.uint64) for k in range(3))
+            rows, ids = b.column(0).to_numpy()[owner], b.column(1).to_numpy()[owner]
+            columns = [rows, ids, keys.view(np.int64), content.view(np.int64), place.view(np.int64)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(more, pa.list_(pa.int64()))], names=["row", "id", "minimiser", "content", "place", "more"])
 
     return run
 
@@ -158,7 +169,7 @@ def repeated_spans(docs: DataFrame, window: int = 50, words_per_shard: int = 1 <
     spark = docs.sparkSession
     bounded_batches(spark)
     own = docs.select(F.xxhash64(key, text).alias("row"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"), F.col(text).alias("text")).where("text is not null")
-    found = spool(own.mapInArrow(_cut(window), "row long, id long, minimiser long, content long, place long"), "segments")
+    found = spool(own.mapInArrow(_cut(window), CUT), "segments")
 
     kinds = found.groupBy("minimiser", "content").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.min("row").alias("row"), F.min_by("place", "row").alias("place"))
     of = Window.partitionBy("minimiser")
@@ -172,7 +183,9 @@ def repeated_spans(docs: DataFrame, window: int = 50, words_per_shard: int = 1 <
     leasts = pieces.groupBy("shard").applyInArrow(_search(window), "minimiser long, content long, skip int, leasts array<long>")
     leasts = leasts.select(F.col("minimiser").alias("m_"), F.col("content").alias("c_"), "skip", "leasts", F.array_min("leasts").alias("least"))
     match = (F.col("minimiser") == F.col("m_")) & (F.col("content") == F.col("c_")) & (F.col("id") > F.col("least"))
-    return found.join(leasts, match).select("row", "id", "place", "skip", "leasts").mapInArrow(_covered(window), "row long, start long, end long")
+    later = found.join(leasts, match)
+    later = later.select("row", "id", F.explode(F.concat(F.array("place"), F.coalesce("more", F.array().cast("array<long>")))).alias("place"), "skip", "leasts")
+    return later.mapInArrow(_covered(window), "row long, start long, end long")
 
 
 STRIPPED = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
