@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.functions.vectors import log_softmax_at
+from pairloom.session import spool
 
 
 def squared_error(prediction: Column, target: Column) -> Column:
@@ -25,7 +26,7 @@ def _ranked(rows: DataFrame, label: str, prediction: str, parts: int) -> DataFra
     """
     counts = rows.where(F.col(prediction).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(prediction).alias("prediction"))
     counts = counts.agg(F.count_if(F.col(label) > 0).alias("pos"), F.count_if(F.col(label) <= 0).alias("neg"))
-    ranged = counts.repartitionByRange(parts, F.desc("prediction")).withColumn("part", F.spark_partition_id())
+    ranged = spool(counts.repartitionByRange(parts, F.desc("prediction")).withColumn("part", F.spark_partition_id()), "ranked")
     down = Window.partitionBy("part").orderBy(F.desc("prediction")).rowsBetween(Window.unboundedPreceding, 0)
     totals = ranged.groupBy("part").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     over = Window.orderBy("part")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairloom.session import spool
+
 SIDES = ("domain_i", "domain_j")
 
 
@@ -145,12 +147,13 @@ def pairs_of_indices(indices: DataFrame, n: int, column: str = "index") -> DataF
 def numbered(rows: DataFrame, *order, into: str = "position", parts: int | None = None) -> DataFrame:
     """rows with their 0-based place in a total order: a range partition, counts of its parts, and places within.
 
-    No task holds more than a part; only one count a part reaches the driver.
+    No task holds more than a part; only one count a part reaches the driver. The parts are written down first, as
+    the bounds of a range partition are drawn anew each time that it is evaluated.
     """
     parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     inside = ranged.withColumn("__id", F.monotonically_increasing_id())
-    inside = inside.withColumns({"__part": F.shiftright("__id", 33).cast("int"), "__at": F.col("__id").bitwiseAND((1 << 33) - 1)})
+    inside = spool(inside.withColumns({"__part": F.shiftright("__id", 33).cast("int"), "__at": F.col("__id").bitwiseAND((1 << 33) - 1)}).drop("__id"), "numbered")
     counts = inside.groupBy("__part").agg(F.count("*").alias("n"))
     starts = counts.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__start"))
-    return inside.join(F.broadcast(starts), "__part").withColumn(into, F.col("__start") + F.col("__at")).drop("__id", "__part", "__at", "__start")
+    return inside.join(F.broadcast(starts), "__part").withColumn(into, F.col("__start") + F.col("__at")).drop("__part", "__at", "__start")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.functions.scores import reservoir_bin
+from pairloom.session import spool
 
 
 def uniform(*columns: str, seed: int) -> Column:
@@ -42,7 +43,7 @@ def weighted_with_replacement(rows: DataFrame, draws: DataFrame, weight: str, or
     placed there by a running sum, so neither side is broadcast whole.
     """
     live = rows.where(F.col(weight) > 0)
-    ranged = live.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
+    ranged = spool(live.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "shares")
     run = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     sums = ranged.withColumn("__to", F.sum(weight).over(run)).withColumn("__from", F.col("__to") - F.col(weight))
     totals = {r["__part"]: r["t"] for r in ranged.groupBy("__part").agg(F.sum(weight).alias("t")).collect()}

@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "pairloom", cpus: int | None = None, partitions: int = 8) -> SparkSession:
@@ -34,6 +34,14 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/pairloom-{label}-{uuid.uuid4().hex}"
 
 
+def spool(df: DataFrame, label: str) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: what follows sees one and the same result, however
+    often it is evaluated and whichever executor is lost."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _SHIPPED: set[str] = set()
 
 
