@@ -140,31 +140,12 @@ def _search(window: int):
     return run
 
 
-def _covered(window: int):
-    """(row, own id, place, skip, leasts) to the spans of words that earlier documents hold."""
+def repeated_windows(docs: DataFrame, window: int = 50, words_per_shard: int = 1 << 19, crowd: int = 2000, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(row, found): of each document with any, its segments that have windows which also start in a document of
+    smaller doc_id, as array<struct<place, more, skip, hits>>: the window at (place >> 16) + skip + k does if hits[k], and
+    likewise at the places in more.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            leasts = b.column(4)
-            n = np.diff(leasts.offsets.to_numpy())
-            owner = np.repeat(np.arange(b.num_rows), n)
-            at = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-            begin = (b.column(2).to_numpy() >> 16) + b.column(3).to_numpy()
-            hit = leasts.flatten().to_numpy() < b.column(1).to_numpy()[owner]
-            owner, at = owner[hit], (begin[owner] + at)[hit]
-            if len(owner):
-                new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1)])
-                heads = np.flatnonzero(new)
-                last = np.append(heads[1:] - 1, len(owner) - 1)
-                yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy()[owner[heads]]), pa.array(at[heads]), pa.array(at[last] + window)], names=["row", "start", "end"])
-
-    return run
-
-
-def repeated_spans(docs: DataFrame, window: int = 50, words_per_shard: int = 1 << 19, crowd: int = 2000, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(row, start, end): word spans that consist of windows which also start in a document of smaller doc_id.
-
-    row is xxhash64(doc_id, text); spans of a row may overlap. A null doc_id counts as greater than all.
+    row is xxhash64(doc_id, text). A null doc_id counts as greater than all.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -183,31 +164,59 @@ def repeated_spans(docs: DataFrame, window: int = 50, words_per_shard: int = 1 <
     leasts = pieces.groupBy("shard").applyInArrow(_search(window), "minimiser long, content long, skip int, leasts array<long>")
     leasts = leasts.select(F.col("minimiser").alias("m_"), F.col("content").alias("c_"), "skip", "leasts", F.array_min("leasts").alias("least"))
     match = (F.col("minimiser") == F.col("m_")) & (F.col("content") == F.col("c_")) & (F.col("id") > F.col("least"))
-    later = found.join(leasts, match)
-    later = later.select("row", "id", F.explode(F.concat(F.array("place"), F.coalesce("more", F.array().cast("array<long>")))).alias("place"), "skip", "leasts")
-    return later.mapInArrow(_covered(window), "row long, start long, end long")
+    hits = F.transform("leasts", lambda x: x < F.col("id")).alias("hits")
+    later = found.join(leasts, match).select("row", F.struct("place", "more", "skip", hits).alias("f"))
+    return later.groupBy("row").agg(F.collect_list("f").alias("found"))
 
 
 STRIPPED = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
 
-@F.arrow_udf(STRIPPED)
-def _strip(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
-    n_words, n_removed, kept = [], [], []
-    for text, start, end in zip(texts, starts, ends, strict=True):
-        words = (text.as_py() or "").encode().split()
-        n_words.append(len(words))
-        if start.is_valid and len(start):
-            delta = np.zeros(len(words) + 1, np.int32)
-            np.add.at(delta, start.values.to_numpy(), 1)
-            np.add.at(delta, end.values.to_numpy(), -1)
-            keep = np.cumsum(delta[:-1]) == 0
-            n_removed.append(len(words) - int(keep.sum()))
-            words = list(itertools.compress(words, keep.tolist()))
-        else:
-            n_removed.append(0)
-        kept.append(b" ".join(words).decode())
-    return pa.StructArray.from_arrays([pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["n_words", "n_removed", "kept"])
+def _ranges(n: np.ndarray) -> np.ndarray:
+    """0..n[0]-1, 0..n[1]-1, ... in one array."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _hit_windows(found: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(document of the batch, first word) of every window that is to go."""
+    docs = np.repeat(np.arange(len(found)), found.value_lengths().fill_null(0).to_numpy())
+    segments = found.flatten()
+    more, hits = segments.field("more"), segments.field("hits")
+    n_more = more.value_lengths().fill_null(0).to_numpy()
+    each = np.arange(len(segments))
+    segment = np.concatenate([each, np.repeat(each, n_more)])  # of each occurrence
+    place = np.concatenate([segments.field("place").to_numpy(), more.flatten().to_numpy()])
+    size = hits.value_lengths().to_numpy()
+    hit = hits.flatten().to_numpy(zero_copy_only=False)
+    at, owner = _ranges(size)[hit], np.repeat(each, size)[hit]
+    n = np.bincount(owner, minlength=len(each))
+    first = np.cumsum(n) - n
+    count = n[segment]
+    start = (place >> 16) + segments.field("skip").to_numpy()[segment]
+    return np.repeat(docs[segment], count), np.repeat(start, count) + at[np.repeat(first[segment], count) + _ranges(count)]
+
+
+def _strip(window: int):
+    @F.arrow_udf(STRIPPED)
+    def strip(texts: pa.Array, found: pa.Array) -> pa.Array:
+        words = [(t.as_py() or "").encode().split() for t in texts]
+        n_words = np.array([len(w) for w in words], np.int64)
+        base = np.cumsum(n_words + 1) - n_words - 1
+        doc, start = _hit_windows(found)
+        size = int((n_words + 1).sum()) + 1
+        begun = np.bincount(base[doc] + start, minlength=size) - np.bincount(base[doc] + start + window, minlength=size)
+        keep = np.cumsum(begun) == 0
+        n_removed, kept = np.zeros(len(words), np.int64), []
+        hit = np.zeros(len(words), bool)
+        hit[doc] = True
+        for k, w in enumerate(words):
+            if hit[k]:
+                w = list(itertools.compress(w, keep[base[k] : base[k] + len(w)].tolist()))
+                n_removed[k] = n_words[k] - len(w)
+            kept.append(b" ".join(w).decode())
+        return pa.StructArray.from_arrays([pa.array(n_words), pa.array(n_removed), pa.array(kept, pa.string())], names=["n_words", "n_removed", "kept"])
+
+    return strip
 
 
 def strip_repeats(docs: DataFrame, window: int = 50, text: str = "text", key: str = "doc_id", into: str = "stripped", **options) -> DataFrame:
@@ -219,7 +228,7 @@ def strip_repeats(docs: DataFrame, window: int = 50, text: str = "text", key: st
     do not remove from each other; a null doc_id counts as the greatest. Repeated rows get equal results.
     An empty table gives an empty one. A column named `into` is replaced; any others stay as they are.
     """
-    spans = repeated_spans(docs, window, text=text, key=key, **options).distinct()
-    spans = spans.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans")).select(F.col("row").alias("__span_row"), F.col("spans.start").alias("__starts"), F.col("spans.end").alias("__ends"))
-    joined = docs.join(spans, F.xxhash64(key, text) == F.col("__span_row"), "left")
-    return joined.select(*[docs[c] for c in docs.columns if c != into], _strip(docs[text], F.col("__starts"), F.col("__ends")).alias(into))
+    found = repeated_windows(docs, window, text=text, key=key, **options)
+    found = found.select(F.col("row").alias("__found_row"), F.col("found").alias("__found"))
+    joined = docs.join(found, F.xxhash64(key, text) == F.col("__found_row"), "left")
+    return joined.select(*[docs[c] for c in docs.columns if c != into], _strip(window)(docs[text], F.col("__found")).alias(into))
