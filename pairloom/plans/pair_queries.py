@@ -310,3 +310,27 @@ def t5(spark, d):
 
     rows = v.predictions(spark, d).select(F.col("l_returnflag").alias("epoch"), "pred", F.col("score").cast("double").alias("score"))
     return epoch_metric(rows, "epoch", "pred", "score").withColumn("mse", R6(F.col("mse")))
+
+
+@query("v2_union_distinct", "SELECT domain_i AS domain FROM pairs UNION SELECT domain_j FROM pairs UNION SELECT domain FROM catalog", "pairs catalog")
+def v2(spark, d):
+    return pairs.unique_ids(v.pairs(spark, d)).union(v.catalog(spark, d).select("domain")).distinct()
+
+
+@query(
+    "u2_pluggable_scores_and_weights",
+    f"SELECT label, bin, count(*) AS n, round(sum(weight), 9) AS weight FROM (SELECT CASE WHEN score > 0.5::FLOAT THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label, {BIN5} AS bin, 1.0::DOUBLE / count(*) OVER (PARTITION BY {BIN5}) AS weight FROM pairs) GROUP BY ALL",
+    "pairs",
+)
+def u2(spark, d):
+    def scored(rows, score, weigh):
+        return weigh(rows).withColumn("label", score(F.col("score")))
+
+    rows = scored(v.pairs(spark, d), lambda s: scores.binary_score(s, 0.5), weights.weighted)
+    return rows.groupBy("label", scores.score_bin(F.col("score"), 5).alias("bin")).agg(F.count("*").alias("n"), F.round(F.sum("weight"), 9).alias("weight"))
+
+
+@query("u15_row_access", "SELECT count(*) AS n, count(*) FILTER (WHERE k IN (0, 17, 99)) AS got, max(o_orderkey) FILTER (WHERE k = 17) AS seventeenth FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS k FROM orders)")
+def u15(spark, d):
+    rows = pairs.numbered(v.table(spark, d, "orders").select("o_orderkey"), "o_orderkey")
+    return rows.agg(F.count("*").alias("n"), F.count_if(F.col("position").isin(0, 17, 99)).alias("got"), F.max(F.when(F.col("position") == 17, F.col("o_orderkey"))).alias("seventeenth"))

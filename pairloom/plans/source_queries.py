@@ -285,3 +285,27 @@ def t4(spark, d):
     v.table(spark, d, "embeddings").select("vec_id").write.parquet(source)
     streams.each_batch(spark.readStream.schema("vec_id LONG").parquet(source), lambda b, k: b.write.mode("overwrite").parquet(f"{sink}/{k}"), check)
     return spark.read.parquet(f"{sink}/*").agg(F.count("*").alias("n"))
+
+
+@query("s5_header_stripped", "SELECT domain_i, domain_j, score FROM pairs WHERE l_linenumber = 1", "pairs")
+def s5(spark, d):
+    path = scratch(spark, "headed")
+    rows = v.pairs(spark, d, ["l_linenumber"]).where("l_linenumber = 1").select(F.col("domain_i").alias("seq1"), F.col("domain_j").alias("seq2"), F.col("score").alias("sequence_identity"))
+    sinks.write_pairs(rows, path, "\t", header=True, single=True)
+    return readers.read_identity_pairs(spark, path)
+
+
+@query("k3_single_dataset", "SELECT vec_id::VARCHAR AS domain, len(embedding) AS width FROM embeddings")
+def k3(spark, d):
+    path = scratch(spark, "storage")
+    sinks.write_vectors(v.catalog(spark, d).coalesce(1), path)
+    return spark.read.parquet(path).select("domain", F.size("embedding").cast("long").alias("width"))
+
+
+@query("k13_files_of_keys", "SELECT vec_id AS id, CASE WHEN vec_id < 10 THEN 1 ELSE 64 END AS n FROM embeddings WHERE vec_id < 20")
+def k13(spark, d):
+    path = scratch(spark, "keys")
+    rows = v.table(spark, d, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    sinks.write_vector_files(rows, path)
+    sinks.write_vector_files(rows.where("id < 10").withColumn("embedding", F.array(F.lit(0.5))), path, replace_keys=True)
+    return spark.read.schema("value STRING, id LONG").text(path).groupBy("id").agg(F.count("*").cast("int").alias("n"))

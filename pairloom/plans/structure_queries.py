@@ -217,3 +217,62 @@ def m1(spark, d):
     rows = v.table(spark, d, "embeddings").select("vec_id", at(0).alias("p"), at(3).alias("q"))
     p, q = F.col("p"), F.col("q")
     return rows.select("vec_id", R6(G.distance(p, q)).alias("distance"), R6(G.angle(p, q)).alias("angle"), F.round(G.angle(G.cross(p, q), p), 5).alias("right_angle"))
+
+
+AT = "{{'x': embedding[{0}]::DOUBLE, 'y': embedding[{1}]::DOUBLE, 'z': embedding[{2}]::DOUBLE}}"
+FOUR = "WITH t AS (SELECT vec_id, " + ", ".join(f"{AT.format(3 * k + 1, 3 * k + 2, 3 * k + 3)} AS p{k}" for k in range(6)) + " FROM embeddings), d AS (SELECT *, " + ", ".join(f"{_minus(f'p{a}', f'p{b}')} AS d{a}{b}" for a, b in ((0, 1), (2, 1), (1, 0), (3, 2), (2, 0), (4, 3), (5, 3))) + f" FROM t), n AS (SELECT *, {_cross('d10', 'd20')} AS n1, {_cross('d43', 'd53')} AS n2 FROM d) "
+
+
+def _points(spark, d):
+    at = lambda k: G.point(*[F.get("embedding", 3 * k + n) for n in range(3)]).alias(f"p{k}")
+    return v.table(spark, d, "embeddings").select("vec_id", *[at(k) for k in range(6)])
+
+
+@query("m2_exp_distance", FOUR + "SELECT vec_id, round(exp(0 - (sqrt(d01.x ** 2 + d01.y ** 2 + d01.z ** 2) - 3.6) ** 2 / 12), 6) AS e FROM n")
+def m2(spark, d):
+    return _points(spark, d).select("vec_id", R6(G.exp_distance(G.distance(F.col("p0"), F.col("p1")))).alias("e"))
+
+
+@query("m3_vector_angle", FOUR + f"SELECT vec_id, round({_angle('p0', 'p1')}, 6) AS a FROM n")
+def m3(spark, d):
+    return _points(spark, d).select("vec_id", R6(G.angle(F.col("p0"), F.col("p1"))).alias("a"))
+
+
+@query("m4_angle_at_point", FOUR + f"SELECT vec_id, round({_angle('d01', 'd21')}, 6) AS a FROM n")
+def m4(spark, d):
+    return _points(spark, d).select("vec_id", R6(G.angle_at(F.col("p0"), F.col("p1"), F.col("p2"))).alias("a"))
+
+
+@query("m5_angle_of_segments", FOUR + f"SELECT vec_id, round({_angle('d10', 'd32')}, 6) AS a FROM n")
+def m5(spark, d):
+    return _points(spark, d).select("vec_id", R6(G.angle_of_segments(F.col("p0"), F.col("p1"), F.col("p2"), F.col("p3"))).alias("a"))
+
+
+@query("m6_angle_of_planes", FOUR + f"SELECT vec_id, round({_angle('n1', 'n2')}, 6) AS a FROM n")
+def m6(spark, d):
+    rows = _points(spark, d)
+    rows = rows.select("vec_id", G.normal(*[F.col(f"p{k}") for k in range(3)]).alias("n1"), G.normal(*[F.col(f"p{k}") for k in range(3, 6)]).alias("n2"))
+    return rows.select("vec_id", R6(G.angle(F.col("n1"), F.col("n2"))).alias("a"))
+
+
+@query("w1_contiguity", "SELECT unit, i, coalesce(res_id - lag(res_id) OVER w = 1, false) AS back, coalesce(lead(res_id) OVER w - res_id = 1, false) AS fore FROM steady WINDOW w AS (PARTITION BY unit ORDER BY i)", "steady")
+def w1(spark, d):
+    rows = structure.with_flanks(v.steady_points(spark, d))
+    return rows.select("unit", F.col("i").cast("long").alias("i"), F.col("back").isNotNull().alias("back"), F.col("fore").isNotNull().alias("fore"))
+
+
+@query("m20_residue_labels", "SELECT unit, ord, chain || ':' || res_id AS label FROM atoms", "atoms")
+def m20(spark, d):
+    return v.atoms(spark, d).select("unit", "ord", F.concat("chain", F.lit(":"), F.col("res_id").cast("string")).alias("label"))
+
+
+@query("m27_letters_of_names", f"SELECT DISTINCT res_name, {LETTER} AS letter FROM (SELECT unnest([{', '.join(repr(n) for n in [*S.LETTERS, *S.PARENTS, 'HOH', ''])}]) AS res_name)")
+def m27(spark, d):
+    names = F.explode(F.array(*[F.lit(n) for n in [*S.LETTERS, *S.PARENTS, "HOH", ""]])).alias("res_name")
+    return spark.range(1).select(names).select("res_name", S.residue_letter(F.col("res_name")).alias("letter"))
+
+
+@query("u14_chains_of_files", f"SELECT unit, chain, string_agg({LETTER}, '' ORDER BY ord) AS seq FROM atoms WHERE {CARBON} GROUP BY unit, chain HAVING count(DISTINCT res_id) >= 10", "atoms")
+def u14(spark, d):
+    rows = structure.long_chains(structure.alpha_carbons(v.atoms(spark, d)))
+    return structure.chain_records(rows).select("unit", "chain", "seq")

@@ -246,3 +246,27 @@ def u5(spark, d):
 def u16(spark, d):
     rows = vectors.gathered(v.residues(spark, d).where("pos <= 8")).withColumn("vecs", F.when(F.col("domain") == "3", F.lit(None)).when(F.col("domain") == "5", F.slice("vecs", 1, 0)).otherwise(F.col("vecs")))
     return models.predict(rows, models.TransformerAggregator(64, seed=1), "domain", "vecs").select("domain", F.size("embedding").alias("width"), F.col("error").isNotNull().alias("failed"))
+
+
+@query("u12_collated_pairs", f"WITH r AS ({RAGGED}) SELECT a.batch, count(*) AS n, max(greatest(len(a.vec), len(b.vec))) AS size FROM r a JOIN r b ON b.vec_id = a.vec_id + 1 GROUP BY a.batch")
+def u12(spark, d):
+    rows = _ragged(spark, d)
+    a, b = (rows.select((F.col("vec_id") + s).alias("k"), F.col("batch").alias(f"batch_{n}"), F.col("vec").alias(f"vec_{n}")) for n, s in (("i", 1), ("j", 0)))
+    both = a.join(b, "k").select("k", F.col("batch_i").alias("batch"), "vec_i", "vec_j")
+    for side in ("vec_i", "vec_j"):
+        both = vectors.padded_batches(both, side, F.lit(0.0)).drop("mask")
+    return both.groupBy("batch").agg(F.count("*").alias("n"), F.max(F.greatest(F.size("vec_i"), F.size("vec_j"))).cast("long").alias("size"))
+
+
+@query("u13_store_provider", "WITH s AS (SELECT id, max_by(numbers, seq) AS numbers FROM kv_log GROUP BY id) SELECT count(*) AS n, count(DISTINCT numbers) AS different FROM s WHERE id::BIGINT % 2 = 0", "kv_log")
+def u13(spark, d):
+    store = kvstore.last_writes(v.kv_log(spark, d).drop("op")).select("id", "numbers")
+    gone = store.where("cast(id as bigint) % 2 = 1").select("id")
+    return kvstore.delete(kvstore.put(store.limit(0), store), gone).agg(F.count("*").alias("n"), F.countDistinct("numbers").alias("different"))
+
+
+@query("t6_isolated_errors", "SELECT CASE WHEN label = 5 THEN 'failed' ELSE 'good' END AS kind, count(DISTINCT label) AS n FROM embeddings GROUP BY 1")
+def t6(spark, d):
+    rows = vectors.gathered(v.residues(spark, d).where("pos <= 8")).withColumn("vecs", F.when(F.col("domain") == "5", F.slice("vecs", 1, 0)).otherwise(F.col("vecs")))
+    done = models.predict(rows, models.TransformerAggregator(64, layers=1, seed=1), "domain", "vecs")
+    return done.groupBy(F.when(F.col("error").isNotNull(), "failed").otherwise("good").alias("kind")).agg(F.count("*").alias("n"))

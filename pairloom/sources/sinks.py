@@ -22,11 +22,14 @@ def write_identities(pairs: DataFrame, path: str, single: bool = False) -> None:
     write_pairs(rows, path, "\t", True, single)
 
 
-def write_vector_files(vectors: DataFrame, path: str, key: str = "id", vector: str = "embedding") -> None:
-    """A directory an id with one number a line, in order; rows without a vector are skipped."""
+def write_vector_files(vectors: DataFrame, path: str, key: str = "id", vector: str = "embedding", replace_keys: bool = False) -> None:
+    """A directory an id with one number a line, in order; rows without a vector are skipped.
+
+    With replace_keys only the directories of the ids written are replaced, and others stay.
+    """
     rows = vectors.where(F.col(vector).isNotNull()).select(key, F.posexplode(vector).alias("at", "number"))
     ordered = rows.repartition(key).sortWithinPartitions(key, "at").select(key, F.col("number").cast("string").alias("number"))
-    ordered.write.mode("overwrite").partitionBy(key).text(path)
+    ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if replace_keys else "static").partitionBy(key).text(path)
 
 
 def write_vectors(vectors: DataFrame, path: str) -> None:
