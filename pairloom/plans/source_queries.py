@@ -82,7 +82,7 @@ def s9(spark, d):
     return readers.read_ids(spark, path, distinct=True)
 
 
-@query("s10_list_with_header", "SELECT header AS rcsb_id FROM short", "short")
+@query("s10_list_with_header", "SELECT header AS entry FROM short", "short")
 def s10(spark, d):
     path = scratch(spark, "list")
     sinks.write_pairs(v.short_sequences(spark, d).select(F.col("header").alias("anything")), path, header=True)

@@ -51,7 +51,7 @@ def read_ids(spark: SparkSession, path: str, name: str = "id", distinct: bool =
     return ids.distinct() if distinct else ids
 
 
-def read_list_with_header(spark: SparkSession, path: str, name: str = "rcsb_id") -> DataFrame:
+def read_list_with_header(spark: SparkSession, path: str, name: str = "entry") -> DataFrame:
     """Ids below a header line, which is dropped whatever it says."""
     return spark.read.option("header", "true").schema(f"{name} STRING").csv(path, enforceSchema=True)
 
