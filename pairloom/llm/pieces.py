@@ -40,9 +40,13 @@ class PieceModel:
         spelled = {int(sp.id_to_piece(i)[1:-1], 16): i for i in range(sp.get_piece_size()) if sp.is_byte(i)}
         self.spelled = [spelled.get(b, sp.unk_id()) for b in range(256)]
         self.text |= {i: bytes([b]) for b, i in spelled.items()}
-        #: every prefix of a piece, with the piece's (id, score) or () where it is only a prefix
-        self.prefixes: dict[str, tuple] = {p[:k]: () for p in self.pieces for k in range(1, len(p))}
-        self.prefixes |= self.pieces
+        #: the pieces' trie: a dict a node, its children by character, and at "" the (id, score) of the piece that ends there
+        self.trie: dict = {}
+        for p, own in self.pieces.items():
+            node = self.trie
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = own
         used = [s for _, s in self.pieces.values() if s > -1e8]
         self.spell_score = min(used) - SPELL_PENALTY
         # which characters may stand next to each other within a piece
@@ -55,6 +59,7 @@ class PieceModel:
                 self.joined[self.kind[ord(a)], self.kind[ord(b)]] = True
         self.joined[0, :] = self.joined[:, 0] = False
         self.cache: dict[str, tuple[bytes, int, float, float]] = {}
+        self.ways: dict[tuple[str, int], list[tuple[float, list[int]]]] = {}
 
     def parts(self, text: str) -> list[str]:
         """The independent parts of a text's lattice, in order; a space stands before the text and is shown as SPACE."""
@@ -70,47 +75,54 @@ class PieceModel:
 
     def _edges(self, part: str, i: int) -> Iterator[tuple[int, tuple[int, ...], float]]:
         """(end, ids, score) of the lattice's edges from position i; a character that is no piece is spelled."""
-        get, single = self.prefixes.get, self.pieces.get(part[i])
+        single = self.pieces.get(part[i])
         yield (i + 1, (single[0],), single[1]) if single else (i + 1, self._spell(part[i]), self.spell_score)
-        for j in range(i + 2, len(part) + 1):
-            p = get(part[i:j])
-            if p is None:
+        node = self.trie.get(part[i])
+        for j in range(i + 1, len(part)):
+            node = node and node.get(part[j])
+            if not node:
                 return
-            if p:
-                yield j, (p[0],), p[1]
+            if "" in node:
+                yield j + 1, (node[""][0],), node[""][1]
 
     def best(self, part: str) -> tuple[bytes, int, float, float]:
         """(ids as 4-byte integers, how many, score, loss of the second best) by the forward Viterbi pass.
 
         Among equal scores the smaller last id wins.
         """
-        n, get = len(part), self.prefixes.get
+        n, trie = len(part), self.trie
         first, second, last, back = [NOTHING] * (n + 1), [NOTHING] * (n + 1), [0] * (n + 1), [0] * (n + 1)
         first[0] = 0.0
-        for i in range(n):
-            a = first[i]
-            for j in range(i + 1, n + 1):
-                p = get(part[i:j])
-                if not p:
-                    if j > i + 1:
-                        if p is None:
-                            break
-                        continue
-                    p = (self.spelled[part[i].encode()[0]], self.spell_score)
-                v = a + p[1]
-                top = first[j]
-                if v > top or (v == top and p[0] < last[j]):
-                    w = second[i] + p[1]
-                    second[j] = w if w > top else top
-                    first[j], last[j], back[j] = v, p[0], i
-                elif v > second[j]:
-                    second[j] = v
-        out, at = [], n
+        for i, c in enumerate(part):
+            a, b, j, node = first[i], second[i], i + 1, trie.get(c)
+            p = node and node.get("") or (self.spelled[c.encode()[0]], self.spell_score)
+            while True:
+                if p:
+                    v, top = a + p[1], first[j]
+                    if v > top:
+                        w = b + p[1]
+                        second[j] = w if w > top else top
+                        first[j], last[j], back[j] = v, p[0], i
+                    elif v == top and p[0] < last[j]:
+                        second[j], last[j], back[j] = top, p[0], i
+                    elif v > second[j]:
+                        second[j] = v
+                if j == n or not node:
+                    break
+                node = node.get(part[j])
+                if not node:
+                    break
+                p = node.get("")
+                j += 1
+        flat, at = [], n
         while at:
             i = back[at]
-            out.append((last[at],) if at > i + 1 or part[i] in self.pieces else self._spell(part[i]))
+            if at > i + 1 or part[i] in self.pieces:
+                flat.append(last[at])
+            else:
+                flat.extend(reversed(self._spell(part[i])))
             at = i
-        flat = [i for ids in reversed(out) for i in ids]
+        flat.reverse()
         return pack(f"<{len(flat)}i", *flat), len(flat), first[n], first[n] - second[n]
 
     def alternatives(self, part: str, n_best: int) -> list[tuple[float, list[int]]]:
@@ -118,6 +130,9 @@ class PieceModel:
 
         Equal scores come in order of their ids read from the end.
         """
+        known = self.ways.get((part, n_best))
+        if known is not None:
+            return known
         n = len(part)
         forward, into = [0.0] + [NOTHING] * n, [[] for _ in range(n + 1)]
         for i in range(n):
@@ -131,16 +146,18 @@ class PieceModel:
                 found.append((-f, [i for ids in reversed(path) for i in ids]))
             for i, ids, s in into[at]:
                 heapq.heappush(heap, (-(forward[i] + behind + s), (*path, ids), i, behind + s))
+        if len(self.ways) >= CACHE_PARTS >> 3:
+            self.ways.clear()
+        if n <= 64:
+            self.ways[part, n_best] = found
         return found
 
-    def _known(self, part: str) -> tuple[bytes, int, float, float]:
-        got = self.cache.get(part)
-        if got is None:
-            if len(self.cache) >= CACHE_PARTS:
-                self.cache.clear()
-            got = self.best(part)
-            if len(part) <= 64:
-                self.cache[part] = got
+    def _learn(self, part: str) -> tuple[bytes, int, float, float]:
+        if len(self.cache) >= CACHE_PARTS:
+            self.cache.clear()
+        got = self.best(part)
+        if len(part) <= 64:
+            self.cache[part] = got
         return got
 
     def encode(self, text: str, n_best: int) -> tuple[np.ndarray, float, list[tuple[float, list[tuple[int, int, list[int]]]]]]:
@@ -149,7 +166,8 @@ class PieceModel:
         Equal scores come in order of the parts that they change, then of the alternatives within.
         """
         parts = self.parts(text)
-        known = list(map(self._known, parts))
+        get, learn = self.cache.get, self._learn
+        known = [get(p) or learn(p) for p in parts]
         ids = np.frombuffer(b"".join([k[0] for k in known]), "<i4")
         total = float(sum([k[2] for k in known]))
         if n_best < 2 or not parts:
