@@ -3,9 +3,10 @@
 1. Every document is cut at minimisers (the least hash of 8 words in each 50-word window): neighbouring
    windows with the same minimiser are one segment. Equal windows have equal minimisers, so a window can
    only recur among segments of its own minimiser.
-2. Segments are counted by (minimiser, content hash). Minimisers of a single document are done with. One
-   copy of each different segment of the others is fetched and dealt to shards by minimiser; a minimiser
-   with very many different segments is dealt window by window instead, by the window's own hash.
+2. Minimisers of a single document are done with. One copy of each different segment of the others is fetched
+   and dealt to shards by minimiser. Only a minimiser with very many different segments (the edges of a passage
+   that a large part of all documents holds) would be too much for one shard: its windows are summed up by
+   their own 128-bit hashes, which deals them evenly, and join step 4.
 3. Each shard builds an FM-index of its segments and streams them through it: matching statistics capped at
    50 words give the rows of each window, and these the least doc_id that holds it.
 4. Each occurrence of a segment compares these with its own doc_id; covered words leave the document.
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
@@ -89,53 +90,66 @@ def _cut(window: int):
     return run
 
 
+def _batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
+
+
+def _each(batch: pa.RecordBatch) -> Iterator[tuple[dict, list[bytes]]]:
+    """(segment, its document's words) of a batch of (wanted, text)."""
+    for wanted, text in zip(batch.column(0), batch.column(1), strict=True):
+        words = text.as_py().encode().split()
+        for s in wanted.as_py():
+            yield s, words
+
+
 def _fetch(window: int, shards: int):
-    """(row's segments, text) to pieces for the shards: a segment, or each window of a segment of a crowded minimiser."""
+    """(wanted segments, text) to their words, dealt to shards by minimiser."""
+    kinds = {"shard": pa.int64(), "minimiser": pa.int64(), "content": pa.int64(), "least": pa.int64(), "piece": pa.binary()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for s, words in _each(b):
+                first, count = s["place"] >> 16, s["place"] & 0xFFFF
+                out.append((s["minimiser"] % shards, s["minimiser"], s["content"], s["least"], b" ".join(words[first : first + count + window - 1])))
+            yield _batch(out, kinds)
+
+    return run
+
+
+def _windows(window: int):
+    """(wanted segments, text) to each of their windows by two hashes of its words."""
+    kinds = {"minimiser": pa.int64(), "content": pa.int64(), "skip": pa.int32(), "least": pa.int64(), "h1": pa.int64(), "h2": pa.int64()}
+    signed = lambda h: h - (h >> 63 << 64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[tuple] = []
-            for wanted, text in zip(b.column(0), b.column(1), strict=True):
-                words = text.as_py().encode().split()
-                for s in wanted.as_py():
-                    first, count = s["place"] >> 16, s["place"] & 0xFFFF
-                    if s["crowded"]:
-                        for k in range(count):
-                            piece = b" ".join(words[first + k : first + k + window])
-                            out.append((xxh64_intdigest(piece) % shards, s["minimiser"], s["content"], k, s["least"], piece))
-                    else:
-                        out.append((s["minimiser"] % shards, s["minimiser"], s["content"], 0, s["least"], b" ".join(words[first : first + count + window - 1])))
-            cols = list(zip(*out, strict=True)) or [()] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["shard", "minimiser", "content", "skip", "least", "piece"])
+            out = []
+            for s, words in _each(b):
+                first, count = s["place"] >> 16, s["place"] & 0xFFFF
+                for k in range(count):
+                    text = b" ".join(words[first + k : first + k + window])
+                    out.append((s["minimiser"], s["content"], k, s["least"], signed(xxh64_intdigest(text, 1)), signed(xxh64_intdigest(text, 2))))
+            yield _batch(out, kinds)
 
     return run
 
 
 def _search(window: int):
-    """One shard: index its pieces, stream them through the index, return the least owner of every window."""
+    """One shard: index its segments, stream them through the index, return the least owner of every window."""
 
     def run(table: pa.Table) -> pa.Table:
         ids: dict[bytes, int] = {}
         number = itertools.count(1)
-        raw, place, least = table.column("piece").to_pylist(), {}, table.column("least").to_numpy()
-        owner: list[int] = []
-        for piece, doc in zip(raw, least.tolist(), strict=True):  # windows of a crowded minimiser may recur
-            k = place.setdefault(piece, len(place))
-            if k == len(owner):
-                owner.append(doc)
-            elif doc < owner[k]:
-                owner[k] = doc
         texts = []
-        for piece in place:
+        for piece in table.column("piece").to_pylist():
             words = piece.split()
             texts.append(np.fromiter((ids.get(w) or ids.setdefault(w, next(number)) for w in words), np.int64, len(words)))
-        found = FmIndex(texts, len(ids) + 1, window, np.array(owner, np.int64)).least_owner(texts)
-        slot = [place[p] for p in raw]
-        size = np.array([len(found[k]) for k in slot])
-        flat = pa.array(np.concatenate([found[k] for k in slot]), pa.int64())
-        leasts = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), flat)
-        return pa.table({"minimiser": table.column("minimiser"), "content": table.column("content"), "skip": table.column("skip"), "leasts": leasts})
+        found = FmIndex(texts, len(ids) + 1, window, table.column("least").to_numpy()).least_owner(texts)
+        offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])])
+        leasts = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(found), pa.int64()))
+        return pa.table({"minimiser": table.column("minimiser"), "content": table.column("content"), "skip": pa.array(np.zeros(len(found)), pa.int32()), "leasts": leasts})
 
     return run
 
@@ -152,16 +166,28 @@ def repeated_windows(docs: DataFrame, window: int = 50, words_per_shard: int = 1
     own = docs.select(F.xxhash64(key, text).alias("row"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"), F.col(text).alias("text")).where("text is not null")
     found = spool(own.mapInArrow(_cut(window), CUT), "segments")
 
-    kinds = found.groupBy("minimiser", "content").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.min("row").alias("row"), F.min_by("place", "row").alias("place"))
-    of = Window.partitionBy("minimiser")
-    kinds = kinds.select("*", F.min("least").over(of).alias("first_id"), F.max("most").over(of).alias("last_id"), F.count("*").over(of).alias("n"))
-    shared = spool(kinds.where("first_id < last_id").select("minimiser", "content", "least", "row", "place", (F.col("n") > crowd).alias("crowded")), "shared")
-    words = shared.agg(F.sum(F.col("place").bitwiseAND(0xFFFF) + F.when(F.col("crowded"), window * F.col("place").bitwiseAND(0xFFFF)).otherwise(window))).first()[0] or 0
-    shards = -(-words // words_per_shard) or 1
-
-    wanted = shared.groupBy(F.col("row").alias("at")).agg(F.collect_list(F.struct("minimiser", "content", "least", "place", "crowded")).alias("wanted"))
-    pieces = own.join(wanted, F.col("row") == F.col("at")).select("wanted", "text").mapInArrow(_fetch(window, shards), "shard long, minimiser long, content long, skip int, least long, piece binary")
+    # sums and joins by minimiser: sums are combined before the shuffle and joins split hot keys, so no task needs all of one
+    shared = found.groupBy("minimiser").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select(F.col("minimiser").alias("m_"))
+    found = spool(found.join(shared, F.col("minimiser") == F.col("m_"), "left_semi"), "shared")
+    kinds = found.groupBy("minimiser", "content").agg(F.min("id").alias("least"), F.min("row").alias("row"), F.min_by("place", "row").alias("place"))
+    crowds = kinds.groupBy("minimiser").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select(F.col("minimiser").alias("m_"), F.lit(True).alias("c_"))
+    kinds = kinds.join(crowds, F.col("minimiser") == F.col("m_"), "left").select("minimiser", "content", "least", "row", "place", F.coalesce("c_", F.lit(False)).alias("crowded"))
+    kinds = spool(kinds, "kinds")
+    words = F.when(~F.col("crowded"), F.col("place").bitwiseAND(0xFFFF) + window)
+    sizes = kinds.agg(F.sum(words).alias("words"), F.count_if("crowded").alias("crowded")).first()
+    shards = -(-(sizes.words or 0) // words_per_shard) or 1
+
+    def fetched(which: DataFrame, cut, schema: str) -> DataFrame:
+        wanted = which.groupBy(F.col("row").alias("at")).agg(F.collect_list(F.struct("minimiser", "content", "least", "place")).alias("wanted"))
+        return own.join(wanted, F.col("row") == F.col("at")).select("wanted", "text").mapInArrow(cut, schema)
+
+    pieces = fetched(kinds.where("not crowded"), _fetch(window, shards), "shard long, minimiser long, content long, least long, piece binary")
     leasts = pieces.groupBy("shard").applyInArrow(_search(window), "minimiser long, content long, skip int, leasts array<long>")
+    if sizes.crowded:
+        single = fetched(kinds.where("crowded"), _windows(window), "minimiser long, content long, skip int, least long, h1 long, h2 long")
+        by_hash = single.groupBy(F.col("h1").alias("k1"), F.col("h2").alias("k2")).agg(F.min("least").alias("first"))
+        held = single.join(by_hash, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")))
+        leasts = leasts.unionByName(held.select("minimiser", "content", "skip", F.array("first").alias("leasts")))
     leasts = leasts.select(F.col("minimiser").alias("m_"), F.col("content").alias("c_"), "skip", "leasts", F.array_min("leasts").alias("least"))
     match = (F.col("minimiser") == F.col("m_")) & (F.col("content") == F.col("c_")) & (F.col("id") > F.col("least"))
     hits = F.transform("leasts", lambda x: x < F.col("id")).alias("hits")
