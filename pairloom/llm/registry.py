@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import chat, licenses, media, neighbours, packing, pieces, quality, sharding, simhash, substrings
+from pairloom.llm import chat, licenses, media, neighbours, oracles, packing, pieces, quality, sharding, simhash, substrings
 from pairloom.llm.common import table
 
 
@@ -88,4 +88,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_licenses": licenses.scan_sql(), "op7_chat": chat.LAST_REPLY_SQL}
+    return {"op1_licenses": licenses.scan_sql(), "op2_sharding": oracles.sharding(), "op4_substring_dedup": oracles.SUBSTRINGS, "op7_chat": chat.LAST_REPLY_SQL}

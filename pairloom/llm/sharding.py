@@ -1,6 +1,6 @@
 """Sharding by sampled splitters, with DataFrame functions only.
 
-Rows are ordered by (xxhash64(text), doc_id), so that equal texts lie next to each other. A size-weighted
+Rows are ordered by (h, doc_id), h being the first 60 bits of the text's MD5, so that equal texts lie next to each other. A size-weighted
 sample of these keys gives quantile boundaries for many small ranges; every row goes to its range, ranges
 that turn out overfull are sampled again and subdivided, and exact running sizes over the ranges give the
 shard. Only the ranges depend on the sample: the shard of a row is a function of the whole table.
@@ -56,10 +56,10 @@ def _quantiles(sample: list[tuple[int, int, float]], parts: int) -> list[tuple[i
     return sorted({(h, LEAST) if not k or cuts[k - 1][0] != h else (h, i) for k, (h, i) in enumerate(cuts)})
 
 
-def shard_by_bytes(docs: DataFrame, n_shards: int = 24, ranges_per_shard: int = 32, whole_share: float = 0.02, text: str = "text", key: str = "doc_id") -> DataFrame:
+def shard_by_bytes(docs: DataFrame, n_shards: int = 24, ranges_per_shard: int = 32, whole_share: float = 0.01, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row a document: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
-    Law `bytes`: shard k holds the rows whose middle byte, in the order of (xxhash64(text), doc_id), lies in
+    Law `bytes`: shard k holds the rows whose middle byte, in the order of (h, doc_id), lies in
     the k-th of n_shards equal parts of all bytes. So a shard differs from the mean by one row at most, or by
     one group of equal texts of up to `whole_share` of a shard: such a group stays together. Larger groups
     are cut where a shard is full. slot counts from 0 within the shard without gaps.
@@ -74,7 +74,7 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 24, ranges_per_shard: int =
             F.col(key).cast("long").alias("doc_id"),
             (F.coalesce(F.octet_length(at), F.lit(0)) + 8).cast("long").alias("size"),
             F.coalesce(F.crc32(at.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
-            F.xxhash64(at).alias("h"),
+            F.conv(F.substring(F.md5(F.coalesce(at, F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long").alias("h"),
             F.coalesce(F.col(key).cast("long"), F.lit(LEAST)).alias("i"),
         ),
         "shard-keys",
