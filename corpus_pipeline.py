@@ -6,20 +6,36 @@ as Parquet and read again as the next stage's docs, so a lost executor never cos
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.llm import packing, quality, simhash, substrings
 from pairloom.llm.common import spool, table
+from pairloom.session import ship
+
+
+def _shipped(stage):
+    """The stage, after the package has been sent to the executors."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
+@_shipped
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.3) -> DataFrame:
     """Documents that the classifier scores `least` or more."""
     scored = quality.score(docs, table(spark, sf_dir, "labels"), into="__quality")
     return scored.where(F.col("__quality") >= least).select(docs.columns)
 
 
+@_shipped
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked fingerprints the document of smallest doc_id. Rows with null doc_id stay."""
     groups = simhash.near_duplicates(docs)
@@ -27,6 +43,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return docs.join(gone, docs.doc_id == F.col("__gone"), "left_anti")
 
 
+@_shipped
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that a document of smaller doc_id holds too; other texts stay as they are."""
     done = substrings.strip_repeats(docs, into="__stripped")
@@ -34,6 +51,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return done.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
+@_shipped
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of full sequences of 1024 ids."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
