@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.llm import chat, licenses, media, neighbours, oracles, packing, pieces, quality, sharding, simhash, substrings
-from pairloom.llm.common import table
+from pairloom.llm.common import table, texts
 
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), licenses.known_digests(spark))
+    found = licenses.scan(texts(spark, sf_dir).select("doc_id", "text"), licenses.known_digests(spark))
     return found.select("doc_id", "license.digest", "license.license_id", F.array_join("license.notices", ",").alias("notices"))
 
 
@@ -26,12 +26,12 @@ def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = substrings.strip_repeats(table(spark, sf_dir, "documents"))
+    done = substrings.strip_repeats(texts(spark, sf_dir))
     return done.select("doc_id", "stripped.n_words", "stripped.n_removed", F.sha2(F.col("stripped.kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = media.media_columns(table(spark, sf_dir, "documents"))
+    read = media.media_columns(texts(spark, sf_dir))
     return read.select(
         F.col("key").alias("doc_id"),
         "n_bytes",
@@ -46,7 +46,7 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(texts(spark, sf_dir))
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,18 +58,18 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
-    encoded = pieces.encode_nbest(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    encoded = pieces.encode_nbest(texts(spark, sf_dir).select("doc_id", "text"), path)
     figures = encoded.select("doc_id", F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).alias("text_crc32"), pieces.digest_column(F.col("encoded"), path).alias("d"))
     return figures.select("doc_id", "d.n_pieces", "d.ids_crc32", "d.score", "d.others", (F.col("d.decoded_crc32") == F.col("text_crc32")).alias("round_trip"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    scored = quality.score(texts(spark, sf_dir), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(texts(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
