@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.llm import packing, quality, simhash, substrings
-from pairloom.llm.common import spool, table
+from pairloom.llm.common import spool, table, texts
 from pairloom.session import ship
 
 
@@ -65,7 +65,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply STAGES to documents; each stage's result is written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     for name, stage in STAGES:
         docs = spool(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
