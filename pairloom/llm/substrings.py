@@ -154,7 +154,7 @@ def _search(window: int):
     return run
 
 
-def repeated_windows(docs: DataFrame, window: int = 50, words_per_shard: int = 1 << 19, crowd: int = 2000, text: str = "text", key: str = "doc_id") -> DataFrame:
+def repeated_windows(docs: DataFrame, window: int = 50, words_per_shard: int = 1 << 18, crowd: int = 2000, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(row, found): of each document with any, its segments that have windows which also start in a document of
     smaller doc_id, as array<struct<place, more, skip, hits>>: the window at (place >> 16) + skip + k does if hits[k], and
     likewise at the places in more.
