@@ -94,3 +94,27 @@ def test_windows_take_similar_documents():
     windows = packing.fill_windows(docs, 800)
     same = [len({d % 4 for d, _, _ in w}) == 1 for w in windows]
     assert np.mean(same) > 0.8 and sum(n for w in windows for *_, n in w) == 80 * 200
+
+
+def test_statistics_are_of_all_documents(spark):
+    r = np.random.default_rng(2)
+    texts = [(k, " ".join(r.choice(["ash", "birch", "cedar", "dogwood", "elm", "fir"], r.integers(0, 9)))) for k in range(50)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(7)
+    rows, of = packing.statistics(docs.mapInArrow(packing._tokenise(PATH, 1024), packing.TOKENISED))
+    ids = [tokens.byte_bpe(PATH).encode_ordinary(t) + [0] for _, t in texts]
+    assert (rows, of.n, of.mean) == (50, 50, np.mean([len(d) for d in ids]))
+    assert of.df.tolist() == [sum(t in d for d in ids) for t in range(len(of.df))] and of.df[0] == 50
+    index = packing.Bm25([np.array(d) for d in ids[:3]], of=of)
+    all_docs = packing.Bm25([np.array(d) for d in ids], query_terms=1000)
+    assert index.scores(1) == pytest.approx(all_docs.scores(1)[:3])
+
+
+def test_related_documents_meet_in_a_shard(spark):
+    """Forty kinds of documents over forty shards: dealt by a hash of the row, one pair in forty of a kind would meet."""
+    r = np.random.default_rng(3)
+    words = [["".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(30)] for _ in range(40)]
+    texts = [(k, " ".join([*r.permutation(words[k % 40]), str(k)])) for k in range(800)]
+    rows = packing.pack(spark.createDataFrame(texts, "doc_id long, text string"), PATH, docs_per_shard=20).collect()
+    shard = {r.doc_id: r.sequence_id >> 32 for r in rows}
+    pairs = [(a, b) for a in range(800) for b in range(a + 40, 800, 40)]
+    assert len(set(shard.values())) > 20 and np.mean([shard[a] == shard[b] for a, b in pairs]) > 0.25
