@@ -6,7 +6,7 @@ document. Count, mean length and document frequencies are those of all tails. Ta
 their terms (the least hashes, so that tails with many terms in common lie near each other) and go, with their
 ids, to shards that are equal ranges of that order. A shard indexes what it got, takes a seed, asks the index for
 unused neighbours, and fills the window; the neighbour that no longer fits is cut, and its rest is the next seed.
-A shard's memory is bounded by docs_per_shard windows, whatever the table holds. Neighbours in other shards are
+A shard's memory is bounded by docs_per_shard windows and its square of scores, whatever the table holds. Neighbours in other shards are
 not seen: the README says how many that are.
 """
 
@@ -112,10 +112,11 @@ def statistics(tokenised: DataFrame) -> tuple[int, Statistics]:
 class Bm25:
     """An inverted index over token ids: for each term its documents and their BM25 weights.
 
-    Weights are by the given statistics, else by those of the documents themselves.
+    Weights are by the given statistics, else by those of the documents themselves. A document asks with all of
+    its terms, or with its query_terms strongest. Takes four bytes for each two documents.
     """
 
-    def __init__(self, docs: list[np.ndarray], query_terms: int = 24, k1: float = 1.2, b: float = 0.75, of: Statistics | None = None):
+    def __init__(self, docs: list[np.ndarray], query_terms: int | None = None, k1: float = 1.2, b: float = 0.75, of: Statistics | None = None):
         self.n = len(docs)
         sizes = np.array([len(d) for d in docs])
         owner, ids = np.repeat(np.arange(self.n), sizes), np.concatenate(docs).astype(np.int64)
@@ -126,24 +127,45 @@ class Bm25:
         idf = np.log1p((n - everywhere + 0.5) / (everywhere + 0.5))
         weight = np.repeat(idf, df) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * sizes[doc] / mean))
         self.doc, self.weight, self.first, self.df = doc, weight, first, df
-        # each document's strongest terms are its query
-        slot = np.repeat(np.arange(len(self.terms)), df)
-        order = np.lexsort((slot, -weight, doc))
-        counts = np.bincount(doc, minlength=self.n)
-        rank = np.arange(len(order)) - np.repeat(np.cumsum(counts) - counts, counts)
-        order = order[rank < query_terms]
-        self.query, self.query_end = slot[order], np.cumsum(np.minimum(counts, query_terms))
+        slot, counts = np.repeat(np.arange(len(self.terms)), df), np.bincount(doc, minlength=self.n)
+        order = np.argsort(doc, kind="stable") if query_terms is None else np.lexsort((slot, -weight, doc))
+        if query_terms is not None:
+            rank = np.arange(len(order)) - np.repeat(np.cumsum(counts) - counts, counts)
+            order, counts = order[rank < query_terms], np.minimum(counts, query_terms)
+        asks, asker = slot[order], np.repeat(np.arange(self.n), counts)
+        # terms in an eighth of the documents or more are nearly all of the work: one product scores them for all queries
+        common = df * 8 >= self.n
+        row, listed, asked = np.cumsum(common) - 1, common[slot], common[asks]
+        weights, queries = np.zeros((common.sum(), self.n), np.float32), np.zeros((self.n, common.sum()), np.float32)
+        weights[row[slot[listed]], doc[listed]] = weight[listed]
+        queries[asker[asked], row[asks[asked]]] = 1
+        self.by_common = queries @ weights
+        self.query, self.query_end = asks[~asked], np.cumsum(np.bincount(asker[~asked], minlength=self.n))
 
     def scores(self, doc: int) -> np.ndarray:
-        """The BM25 score of every document of the shard for one document's strongest terms."""
+        """The BM25 score of every document of the shard for one document's query."""
         q = self.query[self.query_end[doc - 1] if doc else 0 : self.query_end[doc]]
         n = self.df[q]
         at = np.arange(n.sum()) + np.repeat(self.first[q] - np.cumsum(n) + n, n)
-        return np.bincount(self.doc[at], self.weight[at], minlength=self.n)
+        return self.by_common[doc] + np.bincount(self.doc[at], self.weight[at], minlength=self.n)
 
 
-def fill_windows(docs: list[np.ndarray], window: int, neighbours: int = 32, of: Statistics | None = None) -> list[list[tuple[int, int, int]]]:
-    """Windows of (document, start, length); every id of every document lies in exactly one; all but the last are full."""
+def ranked(scores: np.ndarray, head: int = 32) -> Iterator[int]:
+    """All documents that score above 0, the best first, of equal ones the first; sorted only as far as they are asked for."""
+    rest = np.flatnonzero(scores > 0)
+    while len(rest):
+        least = -np.partition(-scores[rest], head - 1)[head - 1] if len(rest) > head else 0.0
+        top = scores[rest] >= least
+        now, rest, head = rest[top], rest[~top], head * 4
+        yield from now[np.lexsort((now, -scores[now]))].tolist()
+
+
+def fill_windows(docs: list[np.ndarray], window: int, of: Statistics | None = None) -> list[list[tuple[int, int, int]]]:
+    """Windows of (document, start, length); every id of every document lies in exactly one; all but the last are full.
+
+    A window takes its seed's unused neighbours as they rank, the last of them cut; only when none scores above 0,
+    the next unused documents.
+    """
     if not docs:
         return []
     index = Bm25(docs, of=of)
@@ -160,29 +182,19 @@ def fill_windows(docs: list[np.ndarray], window: int, neighbours: int = 32, of:
         seed, start = rest
         rest, now, room = None, [(seed, start, int(size[seed]) - start)], window - int(size[seed]) + start
         if room:
-            scores = np.where(unused, index.scores(seed), 0.0)
-            best = np.argpartition(-scores, neighbours)[:neighbours] if len(scores) > neighbours else np.arange(len(scores))
-            best = [int(d) for d in best[np.lexsort((best, -scores[best]))] if scores[d] > 0]
-            for d in best:
-                if size[d] <= room:
-                    now.append((d, 0, int(size[d])))
-                    unused[d] = False
-                    room -= int(size[d])
-                    if not room:
-                        break
-            left = (d for d in best if unused[d])
+            near = ranked(np.where(unused, index.scores(seed), 0.0))
             while room:
-                cut = next(left, None)
-                if cut is None:
-                    cut = next((d for d in queue if unused[d]), None)
-                if cut is None:
+                d = next(near, None)
+                if d is None:
+                    d = next((d for d in queue if unused[d]), None)
+                if d is None:
                     break
-                unused[cut] = False
-                take = min(room, int(size[cut]))
-                now.append((cut, 0, take))
+                unused[d] = False
+                take = min(room, int(size[d]))
+                now.append((d, 0, take))
                 room -= take
-                if take < size[cut]:
-                    rest = (cut, take)
+                if take < size[d]:
+                    rest = (d, take)
         windows.append(now)
 
 

@@ -118,3 +118,18 @@ def test_related_documents_meet_in_a_shard(spark):
     shard = {r.doc_id: r.sequence_id >> 32 for r in rows}
     pairs = [(a, b) for a in range(800) for b in range(a + 40, 800, 40)]
     assert len(set(shard.values())) > 20 and np.mean([shard[a] == shard[b] for a, b in pairs]) > 0.25
+
+
+def test_windows_are_filled_with_neighbours_to_the_end():
+    """Short documents, of which a window holds far more than 32: all of a window's are of one kind while any is left."""
+    r = np.random.default_rng(4)
+    docs = [r.integers(1000 * (k % 2), 1000 * (k % 2) + 50, 10) for k in range(800)]
+    windows = packing.fill_windows(docs, 1000)
+    assert [len({d % 2 for d, _, _ in w}) for w in windows[:3]] == [1, 1, 1] and len(windows) == 8
+    assert list(packing.ranked(np.array([0.0, 2, 5, 2, 1]), head=1)) == [2, 1, 3, 4]
+
+
+def test_all_terms_of_a_seed_are_asked():
+    """Fifty rare terms are stronger than the one that a second document shares."""
+    docs = [np.array([*range(100, 150), 7]), np.array([7, 8]), *[np.array([7, 9])] * 3, *[np.array([9, 10])] * 20]
+    assert packing.Bm25(docs).scores(0)[1] > 0
