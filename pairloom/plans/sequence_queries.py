@@ -60,13 +60,13 @@ def j10(spark, d):
 
 @query("u1_alignment_identity")
 def u1(spark, d):
-    return sequences.identities(v.short_sequences(spark, d), 8)
+    return sequences.identities(v.sequences(spark, d), 8)
 
 
 @query("u1_cross_identity")
 def u1_cross(spark, d):
-    rows = v.short_sequences(spark, d)
-    return sequences.cross_identities(rows.where("header < 'B0005'"), rows.where("header >= 'B0030'"), 4)
+    rows = v.sequences(spark, d)
+    return sequences.cross_identities(rows.where("item_id % 50 = 0"), rows, 4)
 
 
 @query("a14_ungapped_identity", "SELECT a.header AS header_i, b.header AS header_j, round(CASE WHEN least(length(a.sequence), length(b.sequence)) = 0 THEN 0 ELSE list_sum(list_transform(range(1, least(length(a.sequence), length(b.sequence)) + 1), lambda k: (substr(a.sequence, k, 1) = substr(b.sequence, k, 1))::INTEGER))::DOUBLE / least(length(a.sequence), length(b.sequence)) END, 6) AS identity FROM short a JOIN short b ON a.header < b.header", "short")
@@ -115,6 +115,6 @@ def m26(spark, d):
 
 @query("w11_equal_pair_rows")
 def w11(spark, d):
-    n = v.short_sequences(spark, d).count()
+    n = v.sequences(spark, d).count()
     ranges = sequences.equal_pair_rows(n, 6)
     return spark.createDataFrame([(k, a, b, sum(n - 1 - i for i in range(a, b))) for k, (a, b) in enumerate(ranges)], "worker int, first int, last int, pairs long")

@@ -236,7 +236,7 @@ def u5(spark, d):
     from pairloom.functions.sequences import tokens
 
     net = models.SequenceAutoencoder(seed=5)
-    rows = v.short_sequences(spark, d).select("header", tokens(F.col("sequence")).alias("tokens"))
+    rows = v.sequences(spark, d).select("header", tokens(F.col("sequence")).alias("tokens"))
     # the latent vector, and the symbol that decoding it finds likeliest at each of the first five places
     both = lambda t: np.concatenate([net.encode(t), net.decode(net.encode(t), 5).argmax(axis=1)])
     return models.predict(rows, both, "header", "tokens")

@@ -80,6 +80,12 @@ def short_sequences(spark: SparkSession, sf_dir: str, length: int = 60) -> DataF
     return rows.select(F.format_string("B%04d", "item_id").alias("header"), F.substring(letters, 1, length).alias("sequence"))
 
 
+def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark row's letters, whole."""
+    letters = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.format_string("B%04d", "item_id").alias("header"), letters.alias("sequence"))
+
+
 def kv_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, seq, op, numbers): events as changes of a store; every seventh deletes, every third of the rest updates."""
     op = F.when(F.col("event_id") % 7 == 0, "delete").when(F.col("event_id") % 3 == 0, "update").otherwise("set")
