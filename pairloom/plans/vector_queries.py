@@ -215,14 +215,15 @@ def u7(spark, d):
 def u3(spark, d):
     width = 64
     network = models.TransformerAggregator(width, seed=1)
-    return models.predict(vectors.gathered(v.residues(spark, d).where("pos <= 64")), network, "domain", "vecs")
+    return models.predict(vectors.gathered(v.residues(spark, d)), network, "domain", "vecs")
 
 
 @query("u3_masked_transformer_pool")
 def u3_masked(spark, d):
-    rows = vectors.gathered(v.residues(spark, d).where("pos <= 22"))
-    shifted = _lists(spark, d).select("domain", (F.col("i") - 1).alias("i"), F.transform("nbrs", lambda x: x - 1).alias("nbrs"))
-    masks = vectors.neighbour_mask(shifted, F.lit(22)).select("domain", "mask")
+    rows = vectors.gathered(v.residues(spark, d))
+    i = (F.col("pos") - 1).cast("int")
+    lists = v.residues(spark, d).select("domain", i.alias("i"), F.filter(F.array(i - 2, i + 1, i + 5), lambda x: x >= 0).alias("nbrs"))
+    masks = vectors.neighbour_mask(lists, F.size("rows")).select("domain", "mask")
     return models.predict(rows.join(masks, "domain"), models.TransformerAggregator(64, blocks=1, seed=2), "domain", "vecs", "mask")
 
 
@@ -244,7 +245,7 @@ def u5(spark, d):
 
 @query("u16_failing_rows")
 def u16(spark, d):
-    rows = vectors.gathered(v.residues(spark, d).where("pos <= 8")).withColumn("vecs", F.when(F.col("domain") == "3", F.lit(None)).when(F.col("domain") == "5", F.slice("vecs", 1, 0)).otherwise(F.col("vecs")))
+    rows = vectors.gathered(v.residues(spark, d)).withColumn("vecs", F.when(F.col("domain") == "3", F.lit(None)).when(F.col("domain") == "5", F.slice("vecs", 1, 0)).otherwise(F.col("vecs")))
     return models.predict(rows, models.TransformerAggregator(64, seed=1), "domain", "vecs").select("domain", F.size("embedding").alias("width"), F.col("error").isNotNull().alias("failed"))
 
 
@@ -267,6 +268,6 @@ def u13(spark, d):
 
 @query("t6_isolated_errors", "SELECT CASE WHEN label = 5 THEN 'failed' ELSE 'good' END AS kind, count(DISTINCT label) AS n FROM embeddings GROUP BY 1")
 def t6(spark, d):
-    rows = vectors.gathered(v.residues(spark, d).where("pos <= 8")).withColumn("vecs", F.when(F.col("domain") == "5", F.slice("vecs", 1, 0)).otherwise(F.col("vecs")))
+    rows = vectors.gathered(v.residues(spark, d)).withColumn("vecs", F.when(F.col("domain") == "5", F.slice("vecs", 1, 0)).otherwise(F.col("vecs")))
     done = models.predict(rows, models.TransformerAggregator(64, layers=1, seed=1), "domain", "vecs")
     return done.groupBy(F.when(F.col("error").isNotNull(), "failed").otherwise("good").alias("kind")).agg(F.count("*").alias("n"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import oracle
 import pytest
 
-from pairloom.operators import sequences
+from pairloom.operators import models, sequences
 from pairloom.plans import registry
 from pairloom.plans import views as v
 
@@ -31,3 +32,28 @@ def test_identities_are_of_all_whole_texts(spark):
 def test_autoencoder_takes_every_item(spark):
     got = QUERIES["u5_sequence_autoencoder"](spark, oracle.DATA).collect()
     assert len(got) == v.table(spark, oracle.DATA, "benchmark").count() and all(r.error is None for r in got)
+
+
+def test_networks_see_every_residue(spark):
+    domains = {}
+    for r in v.residues(spark, oracle.DATA).orderBy("domain", "pos").collect():
+        domains.setdefault(r.domain, []).append(r.vec)
+    plain, masked = models.TransformerAggregator(64, seed=1), models.TransformerAggregator(64, blocks=1, seed=2)
+    for name in ("u3_transformer_pool", "u3_masked_transformer_pool"):
+        got = {r.domain: r.embedding for r in QUERIES[name](spark, oracle.DATA).collect()}
+        assert set(got) == set(domains)
+        for domain, vecs in domains.items():
+            n = len(vecs)
+            shut = np.array([[j not in (i, i - 2, i + 1, i + 5) for j in range(n)] for i in range(n)])
+            x = np.array(vecs)
+            assert got[domain] == pytest.approx((masked(x, shut) if "masked" in name else plain(x)).tolist(), rel=1e-6, abs=1e-6)
+
+
+def test_errors_are_isolated_in_whole_domains(spark, monkeypatch):
+    seen, call = [], models.predict
+    monkeypatch.setattr(models, "predict", lambda rows, *a, **b: seen.append({r.domain: None if r.vecs is None else len(r.vecs) for r in rows.collect()}) or call(rows, *a, **b))
+    sizes = {r.domain: r["count"] for r in v.residues(spark, oracle.DATA).groupBy("domain").count().collect()}
+    for name in ("u16_failing_rows", "t6_isolated_errors"):
+        QUERIES[name](spark, oracle.DATA)
+        got = seen.pop()
+        assert {k: n for k, n in got.items() if k not in "35"} == {k: n for k, n in sizes.items() if k not in "35"} and got["5"] == 0
