@@ -1,12 +1,13 @@
-"""Shared helpers: table reading, lineage cuts in the shared folder, word splitting."""
+"""Shared helpers: table reading, lineage cuts in the shared folder, bounded batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from pairloom.session import discard, spool
+
+__all__ = ["bounded_batches", "discard", "spool", "table", "texts"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -19,31 +20,10 @@ def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFram
     return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only where the cluster names none (local tests), a temporary folder takes its place.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="pairloom-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def spool(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back.
-
-    The result no longer depends on executors' local files, so a lost executor costs a re-read only.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/pairloom-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep Arrow batches of whole texts small, so that a Python worker's memory doesn't follow the table."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name, "10000")) > rows:
-        spark.conf.set(name, str(rows))
+def bounded_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 8) -> None:
+    """Keep Arrow batches of whole texts small, in rows and in bytes, so that a Python worker's memory doesn't follow the
+    table. Plans are run later, so this holds for the session from now on; a smaller bound that is set already stays."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", megabytes << 20)):
+        now = int(str(spark.conf.get(name)).rstrip("b"))
+        if not 0 < now <= most:
+            spark.conf.set(name, str(most))

@@ -11,35 +11,42 @@ import numpy as np
 SEPARATOR = 0
 
 
+class Bits:
+    """A packed bit vector with ranks: one bit a place, and one count for each 64 of them."""
+
+    def __init__(self, bits: np.ndarray):
+        packed = np.packbits(bits, bitorder="little")
+        self.words = np.concatenate([packed, np.zeros(16 - len(packed) % 8, np.uint8)])[: (len(packed) // 8 + 1) * 8].view(np.uint64)
+        ones = np.bitwise_count(self.words).astype(np.int64)
+        self.before = (np.cumsum(ones) - ones).astype(np.int32)
+
+    def ones(self, i: np.ndarray) -> np.ndarray:
+        """How many bits are set before place i."""
+        word = i >> 6
+        low = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
+        return self.before[word] + np.bitwise_count(self.words[word] & low)
+
+
 class WaveletMatrix:
-    """rank(c, i): how often symbol c occurs before i. One packed bit row and one count a 64-bit word for each bit of a symbol."""
+    """rank(c, i): how often symbol c occurs before i, by one bit vector for each bit of a symbol."""
 
     def __init__(self, symbols: np.ndarray, n_symbols: int):
         self.n, self.levels = len(symbols), max(1, int(n_symbols - 1).bit_length())
-        self.words, self.before, self.zeros = [], [], []
+        self.bits, self.zeros = [], []
         now = symbols.astype(np.uint32)
         for level in reversed(range(self.levels)):
             bits = (now >> np.uint32(level) & np.uint32(1)).astype(bool)
-            packed = np.packbits(bits, bitorder="little")
-            packed = np.concatenate([packed, np.zeros(16 - len(packed) % 8, np.uint8)])[: (len(packed) // 8 + 1) * 8].view(np.uint64)
-            ones = np.bitwise_count(packed).astype(np.int64)
-            self.words.append(packed)
-            self.before.append((np.cumsum(ones) - ones).astype(np.int32))
+            self.bits.append(Bits(bits))
             self.zeros.append(int(self.n - bits.sum()))
             now = np.concatenate([now[~bits], now[bits]])
 
-    def _ones(self, level: int, i: np.ndarray) -> np.ndarray:
-        word = i >> 6
-        low = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
-        return self.before[level][word] + np.bitwise_count(self.words[level][word] & low)
-
     def narrow(self, c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """rank(c, lo), rank(c, hi) by lane; the third is where c's block starts in the last level."""
         lanes = len(c)
         start, at = np.zeros(lanes, np.int64), np.concatenate([lo, hi])
         for level in range(self.levels):
             one = (c >> np.uint32(self.levels - 1 - level) & np.uint32(1)).astype(bool)
-            ones = self._ones(level, np.concatenate([at, start])).astype(np.int64)
+            ones = self.bits[level].ones(np.concatenate([at, start])).astype(np.int64)
             two = np.concatenate([one, one])
             at = np.where(two, self.zeros[level] + ones[: 2 * lanes], at - ones[: 2 * lanes])
             start = np.where(one, self.zeros[level] + ones[2 * lanes :], start - ones[2 * lanes :])
@@ -75,8 +82,8 @@ class FmIndex:
         tail[: n - (depth - half)] = ranks[half][depth - half :]
         a, b = ranks[half][sa], tail[sa]
         #: rows whose suffixes share their first `depth` words form one run
-        self.run_first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-        self.run_of = np.repeat(np.arange(len(self.run_first)), np.diff(np.append(self.run_first, n)))
+        begins = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        self.run_bits, self.run_first = Bits(begins), np.flatnonzero(begins)
         self.run_end = np.append(self.run_first[1:], n)
         self.depth, self.n = depth, n
         bwt = whole[sa - 1]
@@ -111,7 +118,7 @@ class FmIndex:
             lo, hi = self.extend(c, lo, hi)
             there = hi > lo
             full = there & (grown | (got + 1 == self.depth))
-            run = self.run_of[np.where(full, lo, 0)]
+            run = self.run_bits.ones(np.where(full, lo, 0) + 1).astype(np.int64) - 1
             found[(out_base[lane] + p)[full]] = run[full]
             lo, hi = np.where(full, self.run_first[run], lo), np.where(full, self.run_end[run], hi)
             miss = ~there

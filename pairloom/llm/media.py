@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from pairloom.llm.common import bounded_batches, shared_dir
+from pairloom.llm.common import bounded_batches
+from pairloom.session import scratch
 
 ROW = 64
 ARCHIVE_BYTES = 64 << 20
@@ -260,6 +261,6 @@ def media_columns(docs: DataFrame, text: str = "text", key: str = "doc_id", uri:
     are ignored. A member that cannot be read after all its tries has an error, and nulls for its contents.
     """
     spark = docs.sparkSession
-    uri = uri or f"{shared_dir(spark)}/pairloom-media-{uuid.uuid4().hex}"
+    uri = uri or scratch(spark, "media")
     write_archives(docs, uri, text, key)
     return read_archives(spark, uri, **options)

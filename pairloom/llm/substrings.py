@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from pairloom.llm.common import bounded_batches, spool
+from pairloom.llm.common import bounded_batches, discard, spool
 from pairloom.llm.fmindex import FmIndex
 
 GRAM = 8
@@ -154,21 +154,17 @@ def _search(window: int):
     return run
 
 
-def repeated_windows(docs: DataFrame, window: int = 50, words_per_shard: int = 1 << 18, crowd: int = 2000, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(row, found): of each document with any, its segments that have windows which also start in a document of
-    smaller doc_id, as array<struct<place, more, skip, hits>>: the window at (place >> 16) + skip + k does if hits[k], and
-    likewise at the places in more.
-
-    row is xxhash64(doc_id, text). A null doc_id counts as greater than all.
+def repeated_windows(own: DataFrame, window: int = 50, words_per_shard: int = 1 << 18, crowd: int = 2000) -> DataFrame:
+    """(row, found) of the rows (row, id, text), row being unique and id not null: of each row with any, its segments that
+    have windows which also start in a row of smaller id, as array<struct<place, more, skip, hits>>: the window at
+    (place >> 16) + skip + k does if hits[k], and likewise at the places in more.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    own = docs.select(F.xxhash64(key, text).alias("row"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"), F.col(text).alias("text")).where("text is not null")
-    found = spool(own.mapInArrow(_cut(window), CUT), "segments")
+    cut = spool(own.where("text is not null").mapInArrow(_cut(window), CUT), "segments")
 
     # sums and joins by minimiser: sums are combined before the shuffle and joins split hot keys, so no task needs all of one
-    shared = found.groupBy("minimiser").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select(F.col("minimiser").alias("m_"))
-    found = spool(found.join(shared, F.col("minimiser") == F.col("m_"), "left_semi"), "shared")
+    shared = cut.groupBy("minimiser").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select(F.col("minimiser").alias("m_"))
+    found = spool(cut.join(shared, F.col("minimiser") == F.col("m_"), "left_semi"), "shared")
+    discard(cut)
     kinds = found.groupBy("minimiser", "content").agg(F.min("id").alias("least"), F.min("row").alias("row"), F.min_by("place", "row").alias("place"))
     crowds = kinds.groupBy("minimiser").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select(F.col("minimiser").alias("m_"), F.lit(True).alias("c_"))
     kinds = kinds.join(crowds, F.col("minimiser") == F.col("m_"), "left").select("minimiser", "content", "least", "row", "place", F.coalesce("c_", F.lit(False)).alias("crowded"))
@@ -254,7 +250,12 @@ def strip_repeats(docs: DataFrame, window: int = 50, text: str = "text", key: st
     do not remove from each other; a null doc_id counts as the greatest. Repeated rows get equal results.
     An empty table gives an empty one. A column named `into` is replaced; any others stay as they are.
     """
-    found = repeated_windows(docs, window, text=text, key=key, **options)
-    found = found.select(F.col("row").alias("__found_row"), F.col("found").alias("__found"))
-    joined = docs.join(found, F.xxhash64(key, text) == F.col("__found_row"), "left")
-    return joined.select(*[docs[c] for c in docs.columns if c != into], _strip(window)(docs[text], F.col("__found")).alias(into))
+    bounded_batches(docs.sparkSession)
+    # numbered once, on disk: rows that are equal in all columns stay apart, and no row is known by a hash only
+    rest = [c for c, kind in docs.dtypes if kind != "void" and c not in (text, into)]
+    own = [F.monotonically_increasing_id().alias("row"), F.coalesce(docs[key].cast("long"), F.lit(LAST)).alias("id"), docs[text].cast("string").alias("text")]
+    numbered = spool(docs.select(*own, *([F.struct(*[docs[c] for c in rest]).alias("rest")] if rest else [])), "documents")
+    found = repeated_windows(numbered.select("row", "id", "text"), window, **options).withColumnRenamed("row", "at")
+    joined = numbered.join(found, F.col("row") == F.col("at"), "left")
+    back = {c: F.col("rest").getField(c) for c in rest} | {text: F.col("text")}
+    return joined.select(*[back.get(c, F.lit(None)).alias(c) for c in docs.columns if c != into], _strip(window)(F.col("text"), F.col("found")).alias(into))

@@ -107,3 +107,23 @@ def test_windows_of_texts_that_are_not_indexed():
             held.setdefault(tuple(t[p : p + 6]), 100 + k)
     for q, found in zip(queries, index.least_owner(queries), strict=True):
         assert found.tolist() == [held.get(tuple(q[p : p + 6]), -1) for p in range(len(q) - 5)]
+
+
+def test_repeated_rows_cost_their_number_only(spark):
+    """2,000 rows of one document beside another, with and without a doc_id: the segments searched do not multiply."""
+    r = random.Random(4)
+    text = " ".join(f"w{r.randrange(9000)}" for _ in range(400))
+    rows = [(1, text)] + [(5, text)] * 2000 + [(None, text)] * 2000 + [(None, "x " + text)] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    numbered = docs.selectExpr("monotonically_increasing_id() AS row", f"coalesce(doc_id, {substrings.LAST}) AS id", "text")
+    found = substrings.repeated_windows(substrings.spool(numbered, "test")).selectExpr("size(found) AS n").collect()
+    assert len(found) == 4005 and max(f.n for f in found) < 60
+    got = shown(substrings.strip_repeats(docs))
+    assert [g[1:] for g in got if g[0] != (False, 1)].count((400, 400, "")) == 4000
+    assert sum(g[1:] == (401, 400, "x") for g in got) == 5
+
+
+def test_columns_that_are_void_or_clash(spark):
+    docs = spark.sql("SELECT * FROM VALUES (1L, 'a b c', 'r', 1, NULL), (2L, 'a b c', 's', 2, NULL) AS t(doc_id, text, row, found, id)")
+    got = substrings.strip_repeats(docs, window=2).orderBy("doc_id").collect()
+    assert [(g.doc_id, g.text, g.row, g.found, g.id, g.stripped.kept) for g in got] == [(1, "a b c", "r", 1, None, "a b c"), (2, "a b c", "s", 2, None, "")]
