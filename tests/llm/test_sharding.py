@@ -1,12 +1,14 @@
 from __future__ import annotations
 
+import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import duckdb
 import oracle
 import pytest
 
-from pairloom.llm import registry, sharding
+from pairloom.llm import oracles, registry, sharding
 from pairloom.llm.common import table
 
 COLUMNS = "doc_id long, text string, shard string, size int"
@@ -49,6 +51,20 @@ def test_odd_rows(spark):
     check(rows, texts, 4, 10008)
 
 
+def test_large_groups_agree_with_the_sql(spark):
+    """Forty texts in 150 to 450 copies each, some of them repeated rows, some with null ids: ranges end within texts, and the SQL knows no ranges."""
+    for seed in range(3):
+        r = random.Random(seed)
+        texts = [(None if r.random() < 0.1 else r.randrange(10**5), f"{seed} text {k} " * (k + 3)) for k in range(40) for _ in range(r.randrange(150, 450))]
+        texts += [(7, "repeated row " * 20)] * 3000
+        docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+        con = duckdb.connect()
+        con.register("documents", docs.toArrow())
+        want = con.execute(oracles.sharding()).fetchall()
+        got = sharding.shard_by_bytes(docs).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard").collect()
+        assert Counter(map(tuple, got)) == Counter(want)
+
+
 def test_empty(spark):
     assert sharding.shard_by_bytes(spark.createDataFrame([], COLUMNS)).count() == 0
 
@@ -57,6 +73,6 @@ def test_empty(spark):
 def test_binary_search(spark, n):
     from pyspark.sql import functions as F
 
-    splitters = [(k * 10, sharding.LEAST) for k in range(n)]
-    rows = spark.range(-5, 700, 3).select(F.col("id"), sharding._range_of(splitters, F.col("id"), F.lit(0)).alias("p")).collect()
+    splitters = [(k * 10, sharding.LEAST, sharding.LEAST) for k in range(n)]
+    rows = spark.range(-5, 700, 3).select(F.col("id"), sharding._range_of(splitters, F.col("id"), F.lit(0), F.lit(0)).alias("p")).collect()
     assert all(r.p == sum(s[0] <= r.id for s in splitters) for r in rows)
