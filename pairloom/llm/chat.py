@@ -15,7 +15,10 @@ TRAINED = "assistant"
 
 
 def conversations(turns: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(key, turns): one row a conversation, its turns as array<struct<role, text>> in order of turn, then role, then text."""
+    """(key, turns): one row a conversation, its turns as array<struct<role, text>> in order of turn, then role, then text.
+
+    Repeated turns all stay, one after another. Rows with null key are one conversation, under a null key.
+    """
     ordered = F.array_sort(F.collect_list(F.struct(F.col(turn), F.col(role), F.col(text))))
     return turns.groupBy(key).agg(F.transform(ordered, lambda x: F.struct(x[role].alias("role"), x[text].alias("text"))).alias("turns"))
 
@@ -44,12 +47,19 @@ def common_prefix(a: Column, b: Column) -> Column:
     return F.when(first == 0, F.size(same)).otherwise(first - 1).cast("int")
 
 
+def _running(sizes: Column) -> Column:
+    """The sums of the first 1, 2, ... elements, by adding the array to itself moved by 1, 2, 4, ...: n log n steps."""
+    shifts = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.size(sizes) + 1)).cast("int")), lambda k: F.pow(F.lit(2), k).cast("int"))
+    moved = lambda run, by: F.slice(F.concat(F.array_repeat(F.lit(0).cast("long"), by), run), F.lit(1), F.size(run))
+    return F.aggregate(shifts, sizes, lambda run, by: F.zip_with(run, moved(run, by), lambda x, y: x + y))
+
+
 def trained_spans(turns: Column) -> Column:
     """array<struct<start, end>>: character spans of the rendered turns that belong to the assistant's bodies."""
-    sizes = F.transform(turns, lambda t: F.struct(F.length(_head(t)).alias("head"), F.length(_body(t)).alias("body"), (F.coalesce(t["role"], F.lit("")) == TRAINED).alias("trained")))
-    ends = F.transform(sizes, lambda t, i: F.aggregate(F.slice(sizes, F.lit(1), i + 1), F.lit(0), lambda n, s: n + s["head"] + s["body"]))
-    spans = F.zip_with(sizes, ends, lambda t, end: F.when(t["trained"], F.struct((end - t["body"]).alias("start"), end.alias("end"))))
-    return F.filter(spans, lambda s: s.isNotNull())
+    body = lambda t: F.length(_body(t)).cast("long")
+    ends = _running(F.transform(turns, lambda t: F.length(_head(t)) + body(t)))
+    trained = F.zip_with(turns, ends, lambda t, end: F.when(t["role"] == TRAINED, F.struct((end - body(t)).alias("start"), end.alias("end"))))
+    return F.filter(trained, lambda s: s.isNotNull())
 
 
 def format_preferences(pairs: DataFrame, chosen: str = "chosen", rejected: str = "rejected", into: str = "preference") -> DataFrame:

@@ -41,3 +41,13 @@ def test_long_repeated_and_empty(spark):
     assert got[2].n_prompt_turns == 2 and got[3].n_prompt_turns == 0
     assert chat.last_reply_pairs(rows.limit(0)).count() == 0
     assert chat.conversations(rows).where(F.col("conv_id") == 1).select(F.size("turns")).first()[0] == 300
+
+
+def test_running_sums_and_many_turns(spark):
+    rows = spark.createDataFrame([(list(range(n)),) for n in (0, 1, 2, 3, 7, 8, 9, 1000)], "a array<long>")
+    for r in rows.select("a", chat._running(F.col("a")).alias("s")).collect():
+        assert r.s == [sum(r.a[: k + 1]) for k in range(len(r.a))]
+    turn = F.struct(F.lit("assistant").alias("role"), F.lit("abc").alias("text"))
+    last = spark.range(1).select(F.element_at(chat.trained_spans(F.transform(F.sequence(F.lit(1), F.lit(50_000)), lambda k: turn)), -1).alias("s")).first().s
+    size = len("<|assistant|>\nabc<|end|>\n")
+    assert (last.start, last.end) == (50_000 * size - len("abc<|end|>\n"), 50_000 * size)
