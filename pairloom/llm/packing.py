@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.common import bounded_batches, spool
-from pairloom.llm.tokens import byte_bpe
+from pairloom.llm.tokens import byte_bpe, encode
 
 END_ID = 0
 TOKENISED = "doc_id long, doc_tokens long, full_crcs array<long>, tail binary, sketch binary, row long"
@@ -43,12 +43,12 @@ def sketch(ids: np.ndarray, size: int = 8) -> bytes:
 
 def _tokenise(path: str, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = byte_bpe(path).encode_ordinary
+        bpe = byte_bpe(path)
         row = 0
         for b in batches:
             sizes, crcs, tails, sketches = [], [], [], []
             for text in b.column(1):
-                ids = encode(text.as_py() or "")
+                ids = encode(bpe, text.as_py() or "")
                 ids.append(END_ID)
                 ids = np.array(ids, "<u4")
                 whole = len(ids) // window * window

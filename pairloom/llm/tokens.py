@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 
+import public_tokenizers
 import tiktoken
 
-# The pre-tokenising pattern of byte-level BPE vocabularies.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Runs of white space (Unicode's White_Space, as the pattern has it) that are too long for the pattern's matcher, whose stack
+#: grows with them.
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -27,4 +30,18 @@ def byte_bpe(path: str) -> tiktoken.Encoding:
     special = {t["content"] for t in spec.get("added_tokens", []) if t.get("special")}
     alphabet = byte_alphabet()
     ranks = {bytes(alphabet[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in special}
-    return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def encode(bpe: tiktoken.Encoding, text: str) -> list[int]:
+    """The ids of a text. The pattern takes a run of white space, less its last character where something follows, as one
+    piece; long runs are cut out by that rule and merged without the matcher."""
+    if len(text) < 4096 or not (found := list(LONG_SPACE.finditer(text))):
+        return bpe.encode_ordinary(text)
+    ids, at = [], 0
+    for m in found:
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        ids += bpe.encode_ordinary(text[at : m.start()])
+        ids += bpe._encode_single_piece(text[m.start() : end])
+        at = end
+    return ids + bpe.encode_ordinary(text[at:])

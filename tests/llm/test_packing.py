@@ -133,3 +133,14 @@ def test_all_terms_of_a_seed_are_asked():
     """Fifty rare terms are stronger than the one that a second document shares."""
     docs = [np.array([*range(100, 150), 7]), np.array([7, 8]), *[np.array([7, 9])] * 3, *[np.array([9, 10])] * 20]
     assert packing.Bm25(docs).scores(0)[1] > 0
+
+
+@pytest.mark.parametrize("text", [" " * 5_000_000, "\n" * 1_000_000 + "z", "a" + " " * 4096 + "x" + "　" * 4095 + " y" + "\t" * 4097, "!" * 100_000, "ab" * 100_000])
+def test_ids_of_long_runs(text):
+    tokenizer = Tokenizer.from_file(PATH)
+    assert tokens.encode(tokens.byte_bpe(PATH), text) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_very_long_white_space_in_a_table(spark):
+    texts = [(1, "a" + " " * 1_500_000 + "b"), (2, "\n" * 1_000_001), (3, "x")]
+    check(packing.pack(spark.createDataFrame(texts, "doc_id long, text string"), PATH).collect(), texts)
