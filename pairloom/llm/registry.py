@@ -26,7 +26,7 @@ def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = substrings.strip_repeats(texts(spark, sf_dir))
+    done = substrings.strip_repeats(texts(spark, sf_dir).select("doc_id", "text"))
     return done.select("doc_id", "stripped.n_words", "stripped.n_removed", F.sha2(F.col("stripped.kept").cast("binary"), 256).alias("kept_sha256"))
 
 

@@ -155,11 +155,12 @@ def _search(window: int):
 
 
 def repeated_windows(own: DataFrame, window: int = 50, words_per_shard: int = 1 << 18, crowd: int = 2000) -> DataFrame:
-    """(row, found) of the rows (row, id, text), row being unique and id not null: of each row with any, its segments that
+    """(row, found) of the rows (row, id, text, ...), row being unique and id not null: of each row with any, its segments that
     have windows which also start in a row of smaller id, as array<struct<place, more, skip, hits>>: the window at
     (place >> 16) + skip + k does if hits[k], and likewise at the places in more.
     """
-    cut = spool(own.where("text is not null").mapInArrow(_cut(window), CUT), "segments")
+    carried = [F.col(c) for c in own.columns if c not in ("row", "id", "text")]
+    cut = spool(own.where("text is not null").select("row", "id", "text").mapInArrow(_cut(window), CUT), "segments")
 
     # sums and joins by minimiser: sums are combined before the shuffle and joins split hot keys, so no task needs all of one
     shared = cut.groupBy("minimiser").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select(F.col("minimiser").alias("m_"))
@@ -174,8 +175,9 @@ def repeated_windows(own: DataFrame, window: int = 50, words_per_shard: int = 1
     shards = -(-(sizes.words or 0) // words_per_shard) or 1
 
     def fetched(which: DataFrame, cut, schema: str) -> DataFrame:
+        # the hash of the other columns keeps them in the shuffle, which is then the same as that of strip_repeats and is written once
         wanted = which.groupBy(F.col("row").alias("at")).agg(F.collect_list(F.struct("minimiser", "content", "least", "place")).alias("wanted"))
-        return own.join(wanted, F.col("row") == F.col("at")).select("wanted", "text").mapInArrow(cut, schema)
+        return own.join(wanted, F.col("row") == F.col("at")).select("wanted", "text", F.xxhash64(F.lit(0), *carried)).mapInArrow(cut, schema)
 
     pieces = fetched(kinds.where("not crowded"), _fetch(window, shards), "shard long, minimiser long, content long, least long, piece binary")
     leasts = pieces.groupBy("shard").applyInArrow(_search(window), "minimiser long, content long, skip int, leasts array<long>")
@@ -255,7 +257,8 @@ def strip_repeats(docs: DataFrame, window: int = 50, text: str = "text", key: st
     rest = [c for c, kind in docs.dtypes if kind != "void" and c not in (text, into)]
     own = [F.monotonically_increasing_id().alias("row"), F.coalesce(docs[key].cast("long"), F.lit(LAST)).alias("id"), docs[text].cast("string").alias("text")]
     numbered = spool(docs.select(*own, *([F.struct(*[docs[c] for c in rest]).alias("rest")] if rest else [])), "documents")
-    found = repeated_windows(numbered.select("row", "id", "text"), window, **options).withColumnRenamed("row", "at")
+    numbered = numbered.where("row is not null")  # the filter that an inner join would add
+    found = repeated_windows(numbered, window, **options).withColumnRenamed("row", "at")
     joined = numbered.join(found, F.col("row") == F.col("at"), "left")
     back = {c: F.col("rest").getField(c) for c in rest} | {text: F.col("text")}
     return joined.select(*[back.get(c, F.lit(None)).alias(c) for c in docs.columns if c != into], _strip(window)(F.col("text"), F.col("found")).alias(into))
