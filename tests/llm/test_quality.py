@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import math
 import os
 import zlib
+from collections import Counter
 
 import numpy as np
 import oracle
@@ -56,6 +58,47 @@ def test_prior_from_positives_alone():
     assert abs(quality.estimate_prior(positive, unlabelled) - 0.7) < 0.06
 
 
+def test_risk_and_its_slopes_against_sums_written_out():
+    r = np.random.default_rng(5)
+    for prior, shift in ((0.3, 0.0), (0.8, 0.0), (0.9, 6.0)):
+        p, u = r.normal(1 + shift, 1, 7), r.normal(0, 2, 11)
+        positive = sum(math.log(1 + math.exp(-z)) for z in p) / 7
+        wrong = sum(math.log(1 + math.exp(z)) for z in u) / 11 - prior * sum(math.log(1 + math.exp(z)) for z in p) / 7
+        assert quality.pu_risk(p, u, prior) == pytest.approx(prior * positive + max(0, wrong))
+        z, eps = np.concatenate([p, u]), 1e-6
+        whole = (lambda z: quality.pu_risk(z[:7], z[7:], prior)) if wrong >= 0 else (lambda z: prior * np.logaddexp(0, z[:7]).mean() - np.logaddexp(0, z[7:]).mean())  # noqa: B023
+        numeric = [(whole(z + eps * (np.arange(18) == k)) - whole(z - eps * (np.arange(18) == k))) / (2 * eps) for k in range(18)]
+        assert quality.pu_slopes(z, 7, prior) == pytest.approx(numeric, abs=1e-6)
+
+
+def test_scores_against_the_network_written_out():
+    """Margins of both kinds of inputs, summed one by one; gradients against differences."""
+    r = np.random.default_rng(6)
+    net, x = quality.Network(5, 3, 1, n_deep=3), r.normal(size=(4, 5)).astype(np.float32)
+    net.p[3] = r.normal(size=2).astype(np.float32)
+    w, b, v, u, c = net.p
+    want = [sum(v[j] * math.tanh(sum(row[i] * w[i, j] for i in range(3)) + b[j]) for j in range(3)) + row[3] * u[0] + row[4] * u[1] + c[0] for row in x]
+    assert net.margin(x) == pytest.approx(want, abs=1e-5)
+    net.p = [p.astype(np.float64) for p in net.p]
+    for k, g in enumerate(net.gradient(x, np.ones(4))):
+        for at in np.ndindex(g.shape):
+            net.p[k][at] += 1e-5
+            up = net.margin(x).sum()
+            net.p[k][at] -= 2e-5
+            assert g[at] == pytest.approx((up - net.margin(x).sum()) / 2e-5, abs=1e-4)
+            net.p[k][at] += 1e-5
+
+
+def test_hashed_terms_by_hand():
+    text = "one two one\nthree"
+    words = text.encode().split()
+    terms = [zlib.crc32(w) for w in words] + [(zlib.crc32(a) * 0x85EBCA6B & 0xFFFFFFFF) ^ zlib.crc32(b) for a, b in zip(words, words[1:])]
+    terms += [a << 16 | b << 8 | c for a, b, c in zip(text.encode(), text.encode()[1:], text.encode()[2:])]
+    counts = Counter((t * 0x9E3779B1 & 0xFFFFFFFF) >> 23 for t in terms)
+    want = np.array([math.log(1 + counts[k]) for k in range(quality.N_HASHED)])
+    assert quality.features(text)[quality.N_SHARES :] == pytest.approx(want / np.linalg.norm(want), abs=1e-3)
+
+
 def test_non_negative_risk_separates():
     r = np.random.default_rng(1)
     positive, unlabelled = r.normal(1.5, 1, (800, 4)), np.concatenate([r.normal(1.5, 1, (700, 4)), r.normal(-1.5, 1, (300, 4))])
