@@ -19,8 +19,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pairloom.llm.common import spool
+from pairloom.llm.common import bounded_batches, spool
 from pairloom.llm.components import components
 
 BLOCK, RADIUS, GENERATOR = 23, 3, 0b110001110101
@@ -56,6 +57,11 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
 
+@F.arrow_udf(T.LongType())
+def _fp(texts: pa.Array) -> pa.Array:
+    return pa.array(np.fromiter((fingerprint(t.as_py()) for t in texts), np.uint64, len(texts)).view(np.int64))
+
+
 @functools.cache
 def _syndromes() -> np.ndarray:
     """The remainder modulo the generator polynomial of every 23-bit block."""
@@ -123,6 +129,12 @@ def links(fps: DataFrame, threshold: int = 2) -> DataFrame:
     return visits.select("anchor", "fp").join(homes, meet).select("a", F.col("fp").alias("b"))
 
 
+def _rooted(nodes: DataFrame, threshold: int) -> DataFrame:
+    """nodes (fp, ...) with one more column: root, the least fingerprint that links reach."""
+    roots = components(links(nodes.select("fp"), threshold))
+    return nodes.join(roots, nodes.fp == roots.node, "left").drop("node").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, threshold: int = 2, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row a document: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -132,10 +144,26 @@ def near_duplicates(docs: DataFrame, threshold: int = 2, text: str = "text", key
     (null if the component has no other). Repeated rows give repeated rows; an empty table gives an empty
     result; other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     own = spool(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long"), "simhash")
     nodes = spool(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    roots = components(links(nodes.select("fp"), threshold))
-    placed = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    placed = _rooted(nodes, threshold)
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = placed.select("fp", "root").join(least, "root").select(F.col("fp").alias("node"), "component_id")
     return own.join(ids, own.fp == ids.node).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, threshold: int = 2, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """docs with one row of each group that near_duplicates would link: that of smallest key.
+
+    A null key counts as the greatest. Of rows with one key, and of repeated rows, within a group any one stays; rows of one key in
+    different groups do not affect each other. Null and empty texts are one group. An empty table stays empty; columns stay as they are.
+    """
+    bounded_batches(docs.sparkSession)
+    own = [F.monotonically_increasing_id().alias("row"), F.coalesce(docs[key].cast("long"), F.lit(2**63 - 1)).alias("id"), _fp(docs[text]).alias("fp")]
+    rest = [c for c, kind in docs.dtypes if kind != "void"]
+    numbered = spool(docs.select(*own, F.struct(*[docs[c] for c in rest]).alias("rest")), "simhash-documents")
+    nodes = spool(numbered.groupBy("fp").agg(F.min(F.struct("id", "row")).alias("first")), "simhash-nodes")
+    kept = _rooted(nodes, threshold).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("kept"))
+    back = {c: F.col("rest").getField(c) for c in rest}
+    return numbered.join(kept, F.col("row") == F.col("kept"), "left_semi").select(*[back.get(c, F.lit(None)).alias(c) for c in docs.columns])

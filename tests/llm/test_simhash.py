@@ -8,6 +8,8 @@ import oracle
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
 from pairloom.llm import components, registry, simhash
 from pairloom.llm.common import table
 
@@ -68,6 +70,16 @@ def test_chains_copies_and_odd_rows(spark):
     assert len({g[3] for g in got}) < len(rows) - 40
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Repeated rows, rows of one id in different groups, and null ids: by row, not by id."""
+    rows = [(1, "a b c d e f g h"), (2, "a b c d e f g h"), (2, "quite another text of some words"), (2, "quite another text of some words"), (None, "a b c d e f g h"), (None, "only here without an id"), (5, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, "r", 1) for i, t in rows], "doc_id long, text string, row string, fp int").withColumn("nothing", F.lit(None))
+    got = simhash.one_of_each(docs)
+    assert got.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text) for r in got.collect()) == sorted([("1", rows[0][1]), ("2", rows[2][1]), ("None", rows[5][1]), ("4", "")])
+    assert simhash.one_of_each(docs.limit(0)).count() == 0
+
+
 def test_empty(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
