@@ -37,16 +37,14 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float
 
 @_shipped
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document of smallest doc_id. Rows with null doc_id stay."""
-    groups = simhash.near_duplicates(docs)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs.doc_id == F.col("__gone"), "left_anti")
+    """Of each group of linked fingerprints the document of smallest doc_id."""
+    return simhash.one_of_each(docs)
 
 
 @_shipped
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that a document of smaller doc_id holds too; other texts stay as they are."""
-    done = substrings.strip_repeats(docs, into="__stripped")
+    done = substrings.strip_repeats(docs.drop("n_chars"), into="__stripped")
     text = F.when(F.col("__stripped.n_removed") > 0, F.col("__stripped.kept")).otherwise(F.col("text"))
     return done.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
