@@ -7,12 +7,13 @@ a better point lies within a projected distance of r_k * sqrt(quantile(confidenc
 are verified in order of projected distance until none is left within it.
 
 The kd-tree's splits come from a bounded sample; every vector is then placed in its leaf, and leaves are the units
-of work. Queries visit leaves in order of their boxes' distance, in rounds (1, then up to 8, then the rest); before
-each round the test drops the leaves that lie beyond. Equal vectors are one point with their smallest ids, so
-copies, however many, cost nothing and lose nothing.
+of work. Queries visit leaves in order of their boxes' distance, in rounds (the first, then up to the 8th, the 64th, ...);
+before each round the test drops the leaves that lie beyond the distance found by then, and when none is left for any query
+the search ends. Equal vectors are one point with their smallest ids, so copies, however many, cost nothing and lose nothing.
 
-A task holds leaf_rows vectors and block_queries queries, whatever the table's size: larger leaves are dealt to
-several cells, and queries are dealt to blocks.
+A task holds leaf_rows vectors and about block_queries queries, whatever the table's size: larger leaves are dealt to
+several cells, and a leaf's visitors, which each round counts first, to blocks. A leaf's vectors are copied once for each
+block of its visitors, so what is copied follows the visits and not vectors times queries.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import spool
+from pairloom.llm.common import discard, spool
 
 SAMPLES_A_LEAF = 64
 MAX_LEAVES = 4096
@@ -142,6 +143,7 @@ def nearest(
     and rows with null key take no part. Rows repeated with one key count as one. An empty table gives an empty
     result; other columns are ignored.
     """
+    spark = vectors.sparkSession
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("vector"), is_query.alias("asks")).where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
     sizes = rows.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
     dim = sizes.dim if sizes else 1
@@ -170,32 +172,45 @@ def nearest(
 
     sample = [np.frombuffer(r.p) for r in picked.select("vector").mapInArrow(project, "p binary").collect()]
     tree.grow(np.array(sample).reshape(-1, m), depth)
-    leaves, blocks = 1 << depth, max(1, -(-n_asking // block_queries))
+    leaves = 1 << depth
     salts = max(1, -(-n // (leaves * 2 * leaf_rows)))
     spread, keep = chi_square_quantile(confidence, m), k + 1
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             leaf = tree.leaf(tree.place(_matrix(b.column(1), dim), False))
-            cell = leaf * salts + b.column(0).to_numpy() % salts
-            yield pa.RecordBatch.from_arrays([pa.array(cell), b.column(0), b.column(1)], names=["cell", "point", "vector"])
+            yield pa.RecordBatch.from_arrays([pa.array(leaf), b.column(0), b.column(1)], names=["leaf", "point", "vector"])
+
+    def wanted(b: pa.RecordBatch, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row of the batch, leaf) of each visit of (point, vector, floor) in this round; and the squared radius of each row."""
+        floors, x = b.column(2).to_numpy(zero_copy_only=False), _matrix(b.column(1), dim)
+        squares = np.maximum(0.0, np.einsum("ij,ij->i", x, x) + max_square - 2 * floors.astype(np.float64))
+        radius = np.where(np.isfinite(squares), squares, np.inf)
+        found = []
+        for i, p in enumerate(tree.place(x, True)):
+            boxes = tree.box_squares(p)
+            order = np.argsort(boxes, kind="stable")[first:last]
+            found.append(order[boxes[order] <= spread * radius[i]])
+        return np.repeat(np.arange(len(found)), [len(f) for f in found]), np.concatenate([np.empty(0, np.int64), *found]), radius
+
+    def count(first: int, last: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            visits = np.zeros(leaves, np.int64)
+            for b in batches:
+                visits += np.bincount(wanted(b, first, last)[1], minlength=leaves)
+            at = np.flatnonzero(visits)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(visits[at])], names=["leaf", "visits"])
+
+        return run
 
-    def visits(first: int, last: int):
+    def visits(first: int, last: int, blocks: np.ndarray):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                points, floors = b.column(0).to_numpy(), b.column(2).to_numpy(zero_copy_only=False)
-                x = _matrix(b.column(1), dim)
-                squares = np.maximum(0.0, np.einsum("ij,ij->i", x, x) + max_square - 2 * floors.astype(np.float64))
-                radius = np.where(np.isfinite(squares), squares, np.inf)
-                cells, who = [], []
-                for i, p in enumerate(tree.place(x, True)):
-                    boxes = tree.box_squares(p)
-                    order = np.argsort(boxes, kind="stable")[first:last]
-                    order = order[boxes[order] <= spread * radius[i]]
-                    cells.append(((order[:, None] * salts + np.arange(salts)) * blocks + points[i] % blocks).ravel())
-                    who.append(np.full(len(cells[-1]), i))
-                at = np.concatenate(who) if who else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells) if cells else at), b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(radius[at])], names=["cell", "asker", "vector", "radius"])
+                at, leaf, radius = wanted(b, first, last)
+                at, leaf, salt = np.repeat(at, salts), np.repeat(leaf, salts), np.tile(np.arange(salts), len(at))
+                cell = (leaf * salts + salt) * blocks.max() + b.column(0).to_numpy()[at] % blocks[leaf]
+                rows = pa.array(at)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), b.column(0).take(rows), b.column(1).take(rows), pa.array(radius[at])], names=["cell", "asker", "vector", "radius"])
 
         return run
 
@@ -211,23 +226,26 @@ def nearest(
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
         return pa.table({"asker": pa.array(columns[0], pa.int64()), "point": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
 
-    laid = spool(points.select("point", "vector").mapInArrow(lay, f"cell long, point long, vector {dict(points.dtypes)['vector']}"), "leaves")
-    every_block = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: F.col("cell") * blocks + b)
-    dealt = laid.select(F.explode(every_block).alias("cell"), "point", "vector")
+    kind = dict(points.dtypes)["vector"]
+    laid = spool(points.select("point", "vector").mapInArrow(lay, f"leaf long, point long, vector {kind}"), "leaves")
     order = Window.partitionBy("asker").orderBy(F.desc("score"), "point")
-    best = None
-    for first, last in ((0, 1), (1, 8), (8, leaves)):
-        if first >= leaves:
+    best, first, last = spool(spark.createDataFrame([], "asker long, point long, score double"), "best"), 0, 1
+    while first < leaves:
+        floors = best.groupBy("asker").agg(F.when(F.count("*") >= keep, F.min("score")).otherwise(float("-inf")).alias("floor"))
+        now = asking.join(floors, F.col("point") == F.col("asker"), "left").select("point", "vector", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
+        # one row a leaf, of which there are MAX_LEAVES at most
+        counted = {r.leaf: r.visits for r in now.mapInArrow(count(first, last), "leaf long, visits long").groupBy("leaf").agg(F.sum("visits").alias("visits")).collect()}
+        if not counted:
             break
-        if best is None:
-            now = asking.select("point", "vector", F.lit(float("-inf")).alias("floor"))
-        else:
-            floors = best.groupBy("asker").agg(F.when(F.count("*") >= keep, F.min("score")).otherwise(float("-inf")).alias("floor"))
-            now = asking.join(floors, F.col("point") == F.col("asker"), "left").select("point", "vector", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
-        going = now.mapInArrow(visits(first, last), f"cell long, asker long, vector {dict(points.dtypes)['vector']}, radius double")
-        found = going.groupBy("cell").cogroup(dealt.groupBy("cell")).applyInArrow(search, "asker long, point long, score double")
-        found = found if best is None else found.unionByName(best)
-        best = spool(found.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= keep).drop("rn"), "best")
+        blocks = np.array([-(-counted.get(k, 0) // block_queries) for k in range(leaves)])
+        in_blocks = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block")
+        dealt = laid.withColumn("n_blocks", F.get(F.lit(blocks.tolist()), F.col("leaf").cast("int"))).where("n_blocks > 0").select("leaf", "point", "vector", in_blocks)
+        cell = ((F.col("leaf") * salts + F.pmod("point", F.lit(salts))) * int(blocks.max()) + F.col("block")).alias("cell")
+        going = now.mapInArrow(visits(first, last, blocks), f"cell long, asker long, vector {kind}, radius double")
+        found = going.groupBy("cell").cogroup(dealt.select(cell, "point", "vector").groupBy("cell")).applyInArrow(search, "asker long, point long, score double").unionByName(best)
+        before, best = best, spool(found.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= keep).drop("rn"), "best")
+        discard(before)
+        first, last = last, last * 8
 
     # points back to ids: k + 1 for each asking point, less the query itself
     ids = best.join(points.select("point", "ids"), "point").select("asker", "score", F.explode("ids").alias("vec_id"))
