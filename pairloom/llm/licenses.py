@@ -25,6 +25,7 @@ SPELLINGS = [
     ("favourite", "favorite"),
     ("fulfil", "fulfill"),
     ("fulfilment", "fulfillment"),
+    ("https", "http"),
     ("initialise", "initialize"),
     ("judgement", "judgment"),
     ("labelling", "labeling"),
@@ -92,6 +93,18 @@ Permission is granted to anyone to use this software for any purpose, including
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 
 3. This notice may not be removed or altered from any source distribution.""",
+    ),
+    (
+        "BSD-3-Clause",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
     ),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -105,31 +118,72 @@ Permission is granted to anyone to use this software for any purpose, including
     ("CC0-1.0", "Released under CC0 1.0."),
 ]
 
+# Title lines that a licence's file may begin with or not, in canonical spelling.
+TITLES = [
+    "mit license",
+    "the mit license",
+    "mit license mit",
+    "the mit license mit",
+    "expat license",
+    "isc license",
+    "isc license isc",
+    "the isc license",
+    "bsd zero clause license",
+    "zero clause bsd license",
+    "bsd 2 clause license",
+    "bsd 3 clause license",
+    "the bsd 2 clause license",
+    "the bsd 3 clause license",
+    "bsd 2 clause simplified license",
+    "bsd 3 clause new or revised license",
+    "zlib license",
+    "the zlib license",
+    "zlib libpng license",
+]
+
+# Digests of longer licences' whole files in canonical form, as (id, digest); tests compare them with the files
+# where a machine has them.
+KNOWN_DIGESTS = [
+    ("Apache-2.0", "e54d72b4475d38e8ac691465cfb3533349778f63a32af127056c574c123b5dcf"),
+    ("GPL-2.0", "2d0b5e012e036a2690fe078a56f4c6dabcb7e2c352ef799e5e2074dab15ef4ae"),
+    ("GPL-3.0", "d83c17395c9a12cd395b7344eeb0d7e93e4ce5c7e6565e5590ba6d2df2f9e9e1"),
+    ("LGPL-2.1", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-2.0", "797da5d4e9dafcb728632460f1b236d20d0aa8b1f838aa5911bd9f74276d611e"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+]
+
 #: Everything that separates words: ASCII but letters, digits and line ends, and common typographic marks.
 MARKS = r"[\x00-\x09\x0B-/:-`{-\x7F ©‐-―‘-‟•…]+"
-#: After canonical spelling of a line: "copyright (c) 2020 by X", "(c) 2020 X", "© 2020 X", "all rights reserved".
-COPYRIGHT = r"^((copyright )+(c |[0-9]{4}|by )|c [0-9]{4}|[0-9]{4} |all rights reserved$)"
+#: Signs that stand for the word copyright.
+SIGNS = r"\(c\)|©"
+#: After canonical spelling of a line: "copyright (c) X", "copyright 2020 X", "(c) 2020 X", "copyright [year] X", "copyright by X", "all rights
+#: reserved". A year alone makes no copyright line.
+COPYRIGHT = r"^(copyright copyright |(copyright )+([0-9]{4}|year |yyyy |by )|all rights reserved$)"
 
 
 def canonical_lines(text: Column) -> Column:
-    """The lines of a text: lower case, runs of MARKS as one space, equal spellings unified, copyright lines and empty lines gone."""
+    """The lines of a text: lower case, SIGNS as a word, runs of MARKS as one space, equal spellings unified; copyright lines, empty
+    lines, and a title of TITLES as the first line left, are gone."""
     forms = F.create_map(*[F.lit(s) for pair in SPELLINGS for s in pair])
-    lines = F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), MARKS, " "), "\n", -1)
-    lines = F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(COPYRIGHT))
+    plain = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), SIGNS, " copyright "), MARKS, " ")
+    lines = F.filter(F.transform(F.split(plain, "\n", -1), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(COPYRIGHT))
     variant = r"\b(" + "|".join(v for v, _ in SPELLINGS) + r")\b"
     spelt = lambda x: F.array_join(F.transform(F.split(x, " "), lambda w: F.coalesce(F.try_element_at(forms, w), w)), " ")
-    return F.transform(lines, lambda x: F.when(x.rlike(variant), spelt(x)).otherwise(x))
+    lines = F.transform(lines, lambda x: F.when(x.rlike(variant), spelt(x)).otherwise(x))
+    return F.filter(lines, lambda x, i: (i > 0) | ~x.isin(TITLES))
 
 
 def digest(canonical: Column) -> Column:
     return F.sha2(canonical.cast("binary"), 256)
 
 
-def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """(digest, license_id) of known texts; of texts with one canonical form the first id counts."""
+def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN, digests: list[tuple[str, str]] = KNOWN_DIGESTS) -> DataFrame:
+    """(digest, license_id) of known texts and of known digests; of texts with one canonical form the first id counts."""
     rows = spark.createDataFrame([(k, i, t) for k, (i, t) in enumerate(known)], "k int, license_id string, text string")
     of = digest(F.array_join(canonical_lines(F.col("text")), " "))
-    return rows.select(of.alias("digest"), "k", "license_id").groupBy("digest").agg(F.min_by("license_id", "k").alias("license_id"))
+    given = spark.createDataFrame([(d, len(known) + k, i) for k, (i, d) in enumerate(digests)], "digest string, k int, license_id string")
+    return rows.select(of.alias("digest"), "k", "license_id").unionByName(given).groupBy("digest").agg(F.min_by("license_id", "k").alias("license_id"))
 
 
 def scan(docs: DataFrame, known: DataFrame, max_known: int = 100_000, text: str = "text", into: str = "license") -> DataFrame:
@@ -149,7 +203,9 @@ def scan(docs: DataFrame, known: DataFrame, max_known: int = 100_000, text: str
     of_digest = F.create_map(*[F.lit(v) for r in ids for v in (r.digest, r.license_id)]) if ids else nothing
     lines = docs.withColumn("__lines", canonical_lines(F.col(text)))
     whole = lines.withColumn("__digest", digest(F.array_join("__lines", " ")))
-    notices = F.filter(F.transform("__lines", lambda x: F.try_element_at(of_digest, digest(x))), lambda v: v.isNotNull())
+    # isin over many values is a hash set; only what it lets through is looked up in the map, which is read from its start
+    hits = F.filter(F.transform("__lines", lambda x: digest(x)), lambda d: d.isin([r.digest for r in ids]))
+    notices = F.transform(hits, lambda d: F.try_element_at(of_digest, d))
     joined = whole.join(F.broadcast(known.select(F.col("digest").alias("__known"), F.col("license_id").alias("__license"))), F.col("__digest") == F.col("__known"), "left")
     found = F.struct(F.col("__digest").alias("digest"), F.col("__license").alias("license_id"), F.array_sort(F.array_distinct(notices)).alias("notices"))
     return joined.select(*[F.col(c) for c in docs.columns if c != into], found.alias(into))
@@ -159,21 +215,26 @@ def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def scan_sql(known: list[tuple[str, str]] = KNOWN) -> str:
+def scan_sql(known: list[tuple[str, str]] = KNOWN, digests: list[tuple[str, str]] = KNOWN_DIGESTS) -> str:
     """DuckDB SQL for doc_id, digest, license_id, notices over documents."""
     marks = r"[\x00-\x09\x0B-/:-`{-\x7F\x{00A0}\x{00A9}\x{2010}-\x{2015}\x{2018}-\x{201F}\x{2022}\x{2026}]+"
     forms = "MAP {" + ", ".join(f"{_quoted(a)}: {_quoted(b)}" for a, b in SPELLINGS) + "}"
     rows = ", ".join(f"({k}, {_quoted(i)}, {_quoted(t)})" for k, (i, t) in enumerate(known))
 
+    given = "".join(f" UNION ALL SELECT {_quoted(d)}, {_quoted(i)}, {len(known) + k}" for k, (i, d) in enumerate(digests))
+    titles = ", ".join(map(_quoted, TITLES))
+
     def lines(text: str) -> str:
-        raw = f"string_split(regexp_replace(lower(coalesce({text}, '')), {_quoted(marks)}, ' ', 'g'), chr(10))"
+        raw = f"string_split(regexp_replace(regexp_replace(lower(coalesce({text}, '')), {_quoted(SIGNS)}, ' copyright ', 'g'), {_quoted(marks)}, ' ', 'g'), chr(10))"
         kept = f"list_filter(list_transform({raw}, lambda x: trim(x, ' ')), lambda x: x <> '' AND NOT regexp_matches(x, {_quoted(COPYRIGHT)}))"
-        return f"list_transform({kept}, lambda x: array_to_string(list_transform(string_split(x, ' '), lambda w: coalesce({forms}[w], w)), ' '))"
+        spelt = f"list_transform({kept}, lambda x: array_to_string(list_transform(string_split(x, ' '), lambda w: coalesce({forms}[w], w)), ' '))"
+        return f"list_filter({spelt}, lambda x, i: i > 1 OR x NOT IN ({titles}))"
 
     return f"""
 WITH known AS (
-  SELECT sha256(array_to_string({lines("t")}, ' ')) AS digest, min_by(license_id, k) AS license_id
-  FROM (VALUES {rows}) AS v(k, license_id, t) GROUP BY 1
+  SELECT digest, min_by(license_id, k) AS license_id FROM (
+    SELECT sha256(array_to_string({lines("t")}, ' ')) AS digest, license_id, k FROM (VALUES {rows}) AS v(k, license_id, t){given}
+  ) GROUP BY 1
 ), own AS (SELECT doc_id, {lines("text")} AS lines FROM documents),
 notice AS (
   SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices

@@ -229,7 +229,7 @@ def nearest(
     kind = dict(points.dtypes)["vector"]
     laid = spool(points.select("point", "vector").mapInArrow(lay, f"leaf long, point long, vector {kind}"), "leaves")
     order = Window.partitionBy("asker").orderBy(F.desc("score"), "point")
-    best, first, last = spool(spark.createDataFrame([], "asker long, point long, score double"), "best"), 0, 1
+    best, first, last = spool(spark.range(0).selectExpr("id AS asker", "id AS point", "0D AS score"), "best"), 0, 1
     while first < leaves:
         floors = best.groupBy("asker").agg(F.when(F.count("*") >= keep, F.min("score")).otherwise(float("-inf")).alias("floor"))
         now = asking.join(floors, F.col("point") == F.col("asker"), "left").select("point", "vector", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
