@@ -7,7 +7,8 @@ attempt and renamed when whole, so that a task that runs again replaces what it
 Reading: format("media_archive") plans one partition for each range of bytes of the archives in a directory.
 A partition reads the archive's directory, takes the members whose headers begin in its range, fetches each by
 its own offset, tries a member again on its own when it fails, and streams Arrow batches of bounded size. A
-member that stays unreadable gives a row with the error, not a failed job.
+member that stays unreadable gives a row with the error, not a failed job; so does an archive whose directory
+stays unreadable, one row by the partition of its first range.
 
 Folders are opened through pyarrow.fs, so that any store with a URI that it knows can hold the archives.
 """
@@ -177,25 +178,41 @@ class _Reader(DataSourceReader):
             raise ValueError("member is cut short")
         return media
 
-    def _member(self, store: fs.FileSystem, path: str, info: zipfile.ZipInfo) -> tuple:
+    def _tried(self, action) -> tuple:
+        """(what the action gives, None), or (None, why the last of all tries failed)."""
         why = ""
         for attempt in range(self.tries):
             if attempt:
                 time.sleep(0.05 * 2**attempt)
             try:
-                media = self._fetch(store, path, info.header_offset, info.file_size)
-                payload, n = from_png(media)
-                return media, payload, n, None
-            except (OSError, ValueError, zlib.error, struct.error) as e:
+                return action(), None
+            except (OSError, ValueError, zlib.error, struct.error, zipfile.BadZipFile) as e:
                 why = f"{type(e).__name__}: {e}"
-        return None, None, None, why
+        return None, why
+
+    def _member(self, store: fs.FileSystem, path: str, info: zipfile.ZipInfo) -> tuple:
+        def read() -> tuple:
+            media = self._fetch(store, path, info.header_offset, info.file_size)
+            return media, *from_png(media)
+
+        found, why = self._tried(read)
+        return (*(found or (None, None, None)), why)
+
+    @staticmethod
+    def _directory(store: fs.FileSystem, path: str) -> list[zipfile.ZipInfo]:
+        with store.open_input_file(path) as f, zipfile.ZipFile(f) as z:
+            return z.infolist()
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         if not partition.path:
             return
         store, _ = _folder(self.uri)
-        with store.open_input_file(partition.path) as f, zipfile.ZipFile(f) as z:
-            members = [i for i in z.infolist() if partition.start <= i.header_offset < partition.end]
+        listed, why = self._tried(lambda: self._directory(store, partition.path))
+        if listed is None:
+            if partition.start == 0:
+                yield self._batch([(None, partition.path, None, None, None, None, None, None, None, why)])
+            return
+        members = [i for i in listed if partition.start <= i.header_offset < partition.end]
         rows, held = [], 0
         for info in members:
             media, payload, n, error = self._member(store, partition.path, info)
@@ -258,7 +275,8 @@ def media_columns(docs: DataFrame, text: str = "text", key: str = "doc_id", uri:
 
     A null or empty text is a payload of 64 bytes 0. Repeated rows are members of their own; a null doc_id
     stays null; an empty table gives no rows. Equal texts give equal media, payload and feature. Other columns
-    are ignored. A member that cannot be read after all its tries has an error, and nulls for its contents.
+    are ignored. A member that cannot be read after all its tries has an error, and nulls for its contents. The
+    archives stay in uri, or else in the shared folder until the driver ends.
     """
     spark = docs.sparkSession
     uri = uri or scratch(spark, "media")

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import statistics
 import zipfile
 import zlib
 
@@ -78,3 +79,58 @@ def test_a_member_is_tried_again():
 
 def test_no_archives(spark):
     assert media.read_archives(spark, scratch(spark, "nothing")).count() == 0
+
+
+def plain_png(data):
+    """(width, samples) of an 8-bit grey PNG by its public format alone: any order of data chunks, all five line filters."""
+    assert data[:8] == bytes([137, 80, 78, 71, 13, 10, 26, 10])
+    at, packed, head = 8, b"", None
+    while at < len(data):
+        n, kind = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8]
+        body = data[at + 8 : at + 8 + n]
+        assert zlib.crc32(kind + body) == int.from_bytes(data[at + 8 + n : at + 12 + n], "big")
+        if kind == b"IHDR":
+            head = (int.from_bytes(body[:4], "big"), int.from_bytes(body[4:8], "big"), *body[8:])
+        packed += body if kind == b"IDAT" else b""
+        at += 12 + n
+    assert kind == b"IEND" and head[2:] == (8, 0, 0, 0, 0)
+    width, height = head[:2]
+    raw, out, above = zlib.decompress(packed), [], [0] * width
+    for y in range(height):
+        line, how = list(raw[y * (width + 1) + 1 : (y + 1) * (width + 1)]), raw[y * (width + 1)]
+        for x in range(width):
+            a, b, c = line[x - 1] if x else 0, above[x], above[x - 1] if x else 0
+            paeth = min((a, b, c), key=lambda v: (abs(a + b - c - v), (a, b, c).index(v)))  # noqa: B023
+            line[x] = (line[x] + [0, a, b, (a + b) // 2, paeth][how]) % 256
+        out += line
+        above = line
+    return width, bytes(out)
+
+
+def test_stored_images_by_a_reader_of_their_own(spark):
+    """Stored bytes, their digest and the features, none of them through the module's functions."""
+    texts = {1: "", 2: "x", 3: "é" * 100, 4: "".join(random.Random(3).choice("abc \n") for _ in range(3000))}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for r in media.media_columns(docs, media="true").collect():
+        raw = texts[r.key].encode()
+        want = list(raw) + [0] * ((-len(raw)) % 64 if raw else 64)
+        assert plain_png(bytes(r.media)) == (64, bytes(want)) and bytes(r.payload) == bytes(want) and r.n_bytes == len(raw)
+        assert (r.media_bytes, r.media_sha256) == (len(r.media), hashlib.sha256(r.media).hexdigest())
+        mean = statistics.fmean(want)
+        signs = [x >= mean for x in want]
+        got = dict(p.split("=") for p in r.feature.split(";"))
+        assert float(got["mean"]) == pytest.approx(mean, abs=1e-6) and float(got["var"]) == pytest.approx(statistics.pvariance(want), abs=1e-5)
+        assert int(got["cross"]) == sum(a != b for a, b in zip(signs, signs[1:])) and int(got["step"]) == sum((b - a) ** 2 for a, b in zip(want, want[1:]))
+
+
+def test_damaged_archive_is_a_row_and_others_are_read(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"document {k} " * 20) for k in range(40)], "doc_id long, text string").repartition(4)
+    uri = f"file://{tmp_path}/archives"
+    media.write_archives(docs, uri)
+    broken = sorted((tmp_path / "archives").glob("*.zip"))[1]
+    with zipfile.ZipFile(broken) as z:
+        lost = len(z.infolist())
+    broken.write_bytes(broken.read_bytes()[:-30])
+    rows = media.read_archives(spark, uri, tries=2, rangeBytes=300).collect()
+    assert [r.archive.rpartition("/")[2] for r in rows if r.error] == [broken.name]
+    assert sum(r.error is None for r in rows) == 40 - lost
