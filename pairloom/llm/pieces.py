@@ -1,6 +1,7 @@
 """SentencePiece encoding with the n best segmentations, and decoding.
 
-A segmentation's score is the sum of its pieces' scores in the model. The lattice of a text falls apart where
+A segmentation's score is the sum of its pieces' scores in the model, and the n best are those of greatest sums. For a BPE model
+this is not what the model's own encoder gives: that merges pairs by rank, and the sum of its pieces is never greater. The lattice of a text falls apart where
 no piece holds two neighbouring characters together; such parts (mostly words) recur, so a worker keeps what it
 found for them. For each part the forward Viterbi pass gives the best segmentation and the score of the second.
 Only the n - 1 parts that lose least can differ from the best in the n best of the text; in these, a backward

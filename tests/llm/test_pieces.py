@@ -5,6 +5,7 @@ import random
 import oracle
 import public_tokenizers
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
 from pairloom.llm import pieces, registry
@@ -85,3 +86,22 @@ def test_small_cache_changes_nothing(monkeypatch):
     MODEL.cache.clear()
     got = MODEL.encode(text, 4)
     assert got[0].tolist() == want[0].tolist() and got[1:] == want[1:]
+
+
+def test_against_the_library_itself():
+    """Decoding and piece scores are those of sentencepiece; its own segmentation never has a greater sum."""
+    sp = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    r = random.Random(8)
+    words = "the quick brown fox naïve Straße 東京 😀 x1 ... \n\t foo_bar 12345 ▁ é".split(" ")
+    for k in range(300):
+        text = " ".join(r.choice(words) for _ in range(r.randrange(1, 12))).replace("▁", "")
+        ids, score, others = MODEL.encode(text, 4)
+        ids = ids.tolist()
+        ways = [(ids, score)] + [(applied(ids, e), s) for s, e in others]
+        for way, total in ways:
+            assert sp.decode(way) == text == MODEL.decode(way)
+            if not any(sp.is_byte(i) for i in way):
+                assert total == pytest.approx(sum(sp.get_score(i) for i in way), rel=1e-9, abs=1e-6)
+        own = sp.encode(text)
+        if not any(sp.is_byte(i) for i in own):
+            assert score >= sum(sp.get_score(i) for i in own) - 1e-3
