@@ -7,6 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from pairloom.functions import options
 from pairloom.operators import metrics, pairs, sequences, structure, vectors, weights
 from pairloom.session import ship
 from pairloom.sources import readers, sinks
@@ -23,7 +24,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--out", required=True, help="folder for the result")
         return p
 
-    add("identity", "align all sequences, or two sets, and write identities", ("--fasta", {}), ("--structures", {}), ("--against", {}), ("--window-size", {"type": int}), ("--window-step", {"type": int}), ("--single", {"action": "store_true"}))
+    add("identity", "align all sequences, or two sets, and write identities", ("--fasta", {}), ("--structures", {}), ("--against", {}), ("--against-structures", {}), ("--window-size", {"type": int}), ("--window-step", {"type": int}), ("--single", {"action": "store_true"}))
     add("neighbours", "neighbour lists of CA atoms", ("--structures", {"required": True}), ("--threshold", {"type": float, "default": 10.0}), ("--assembly", {"action": "store_true"}), ("--labels", {"action": "store_true"}))
     add("sanitise", "keep pair lines whose ids have vectors", ("--pairs", {"required": True}), ("--vectors", {"required": True}), ("--missing", {}), ("--separator", {"default": ","}))
     add("split", "split sequences by length", ("--fasta", {"required": True}), ("--length", {"type": int, "required": True}))
@@ -37,12 +38,10 @@ def parser() -> argparse.ArgumentParser:
 def checked(args: argparse.Namespace) -> argparse.Namespace:
     """Options that exclude or need each other."""
     if args.command == "identity":
-        if (args.fasta is None) == (args.structures is None):
-            raise ValueError("give either --fasta or --structures")
-        if (args.window_size is None) != (args.window_step is None):
-            raise ValueError("--window-size and --window-step go together")
-        if args.structures is not None and args.against is not None:
-            raise ValueError("--against goes with --fasta")
+        wrong = options.problem(options.IDENTITY, {k for k, v in vars(args).items() if v is not None})
+        if wrong:
+            raise ValueError(wrong)
+        args.window_step = args.window_step or args.window_size
     if args.command == "folds" and not 0 <= args.fold < args.folds:
         raise ValueError("--fold is from 0 to --folds less 1")
     return args
@@ -57,12 +56,15 @@ def identity(spark: SparkSession, a: argparse.Namespace) -> None:
     def windowed(rows):
         return sequences.windows(rows, a.window_size, a.window_step) if a.window_size else rows
 
-    if a.structures:
-        records = structure.chain_records(structure.long_chains(chains(spark, a.structures)))
-        left = windowed(records.select(F.concat_ws(".", "unit", "chain").alias("header"), F.col("seq").alias("sequence")))
-    else:
-        left = windowed(readers.read_fasta(spark, a.fasta, whole_header=True))
-    found = sequences.cross_identities(left, windowed(readers.read_fasta(spark, a.against, whole_header=True))) if a.against else sequences.identities(left)
+    def records(structures: str | None, fasta: str):
+        if not structures:
+            return windowed(readers.read_fasta(spark, fasta, whole_header=True))
+        found = structure.chain_records(structure.long_chains(chains(spark, structures)))
+        return windowed(found.select(F.concat_ws(".", "unit", "chain").alias("header"), F.col("seq").alias("sequence")))
+
+    left = records(a.structures, a.fasta)
+    against = a.against or a.against_structures
+    found = sequences.cross_identities(left, records(a.against_structures, a.against)) if against else sequences.identities(left)
     sinks.write_identities(found, a.out, a.single)
 
 

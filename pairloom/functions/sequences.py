@@ -60,5 +60,12 @@ def without_ends(a: Column) -> Column:
 
 
 def four_decimals(x: Column) -> Column:
-    """Text with four decimals; nan for null and NaN."""
-    return F.when(x.isNull() | F.isnan(x), "nan").otherwise(F.format_string("%.4f", x))
+    """Text with four decimals of the exact value, ties to even; nan for null and NaN."""
+    x = x.cast("double")
+    # what rounding took from the product, by the halves of x: it tells a tie from a product that only looks like one
+    scaled = x * 10_000
+    high = x * 134217729.0 - (x * 134217729.0 - x)
+    lost = (high * 10_000 - scaled) + (x - high) * 10_000
+    below = F.floor(scaled).cast("double")
+    rounded = F.when((scaled - below == 0.5) & (lost != 0), below + (lost > 0).cast("double")).otherwise(F.rint(scaled))
+    return F.when(x.isNull() | F.isnan(x), "nan").otherwise(F.format_string("%.4f", F.when(F.abs(x) < 1e11, rounded / 10_000).otherwise(x)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from pairloom.operators.pairs import all_against_all, set_against_set
 
 # The BLOSUM62 substitution scores, in this order of residues, row by row from the diagonal leftwards.
-ORDER = "ARNDCQEGHILKMFPSTWYVBZX"
+ORDER = "ARNDCQEGHILKMFPSTWYVBZX*"
 LOWER = """
 4
 -1 5
@@ -37,11 +39,12 @@ LOWER = """
 -2 -1 3 4 -3 0 1 -1 0 -3 -4 0 -3 -3 -2 0 -1 -4 -3 -3 4
 -1 0 0 1 -3 3 4 -2 0 -3 -3 1 -1 -3 -1 0 -1 -3 -2 -2 1 4
 0 -1 -1 -1 -2 -1 -1 -1 -1 -1 -1 -1 -1 -1 -2 0 0 -2 -1 -1 -1 -1 -1
+-4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 1
 """
 
 
 def substitution() -> np.ndarray:
-    """Scores by letter code; letters beyond the table score like X."""
+    """Scores by letter code; letters beyond the table, which `identity` does not let through, score like X."""
     table = np.zeros((len(ORDER), len(ORDER)))
     for k, line in enumerate(LOWER.split("\n")[1:-1]):
         table[k, : k + 1] = table[: k + 1, k] = [int(v) for v in line.split()]
@@ -50,13 +53,12 @@ def substitution() -> np.ndarray:
 
 
 def identity(a: str, b: str, scores: np.ndarray) -> float:
-    """Matches over the shorter length of an optimal alignment. An empty sequence has identity 0; letters other than
-    A-Z make it NaN."""
-    if not a or not b:
-        return 0.0
-    if not (a.isascii() and a.isalpha() and b.isascii() and b.isalpha()):
+    """Matches over the shorter length of an optimal alignment. A symbol outside ORDER, in either case, makes it NaN; else an
+    empty sequence has identity 0."""
+    a, b = a.upper(), b.upper()
+    if not set(ORDER).issuperset(a + b):
         return float("nan")
-    return align(a.upper(), b.upper(), scores)[1] / min(len(a), len(b))
+    return align(a, b, scores)[1] / min(len(a), len(b)) if a and b else 0.0
 
 
 def align(a: str, b: str, scores: np.ndarray, opening: float = 10.0, extending: float = 1.0) -> tuple[float, int]:
@@ -143,12 +145,14 @@ def windows(sequences: DataFrame, size: int, step: int) -> DataFrame:
     A sequence up to the window's size is one window, filled up with X.
     """
     n = F.length("sequence")
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), n - size), F.lit(step))
-    tail = F.when((n > size) & ((n - size) % step != 0), F.array(n - size)).otherwise(F.array().cast("array<int>"))
-    rows = sequences.select("header", "sequence", n.alias("n"), F.explode(F.concat(starts, tail)).alias("at"))
-    last = F.least(F.col("n"), F.col("at") + size)
-    piece = F.rpad(F.substring("sequence", F.col("at") + 1, F.lit(size)), size, "X")
-    return rows.select(F.concat("header", F.lit("|"), (F.col("at") + 1).cast("string"), F.lit("-"), last.cast("string")).alias("header"), piece.alias("sequence"))
+    # one pass over the text: a window is seen ahead of each step
+    whole = F.transform(F.regexp_extract_all("sequence", F.lit(f"(?s)(?=(.{{{size}}})).{{1,{step}}}"), F.lit(1)), lambda w, k: F.struct((k * step).alias("at"), w.alias("piece")))
+    end = F.struct((n - size).alias("at"), F.right("sequence", F.lit(size)).alias("piece"))
+    tail = F.when((n - size) % step != 0, F.array(end)).otherwise(F.filter(F.array(end), lambda w: F.lit(False)))
+    alone = F.array(F.struct(F.lit(0).alias("at"), F.rpad("sequence", size, "X").alias("piece")))
+    rows = sequences.select("header", n.alias("n"), F.explode(F.when(n <= size, alone).otherwise(F.concat(whole, tail))).alias("w"))
+    last = F.least(F.col("n"), F.col("w.at") + size)
+    return rows.select(F.concat("header", F.lit("|"), (F.col("w.at") + 1).cast("string"), F.lit("-"), last.cast("string")).alias("header"), F.col("w.piece").alias("sequence"))
 
 
 def length_split(sequences: DataFrame, limit: int) -> DataFrame:
@@ -157,9 +161,13 @@ def length_split(sequences: DataFrame, limit: int) -> DataFrame:
 
 
 def equal_pair_rows(n: int, workers: int) -> list[tuple[int, int]]:
-    """Row ranges of an upper triangle of n items with about equal numbers of pairs: cut where the running count of
-    pairs first reaches each worker's share. Empty ranges are left out."""
-    upto = np.cumsum(n - 1 - np.arange(n))
-    shares = np.arange(1, workers) * (n * (n - 1) / 2 / workers)
-    cuts = np.unique(np.concatenate([[0], np.minimum(n, np.searchsorted(upto, shares) + 1), [n]]))
-    return list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+    """Row ranges of an upper triangle of n items with about equal numbers of pairs. A range ends with the first row that
+    brings its own pairs to an equal share of all; the last worker takes what is left, and ranges may be fewer than workers."""
+    before = lambda i: i * (n - 1) - i * (i - 1) // 2  # pairs of the first i rows
+    share, cuts = n * (n - 1) // 2 / workers, [0]
+    while len(cuts) < workers and cuts[-1] < n:
+        cut = bisect.bisect_left(range(n + 1), before(cuts[-1]) + share, lo=cuts[-1] + 1, key=before)
+        if cut > n:
+            break
+        cuts.append(cut)
+    return list(itertools.pairwise(cuts if cuts[-1] == n else [*cuts, n]))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.functions import scores
+from pairloom.functions import options
 from pairloom.operators import metrics, pairs, sampling, weights
 from pairloom.operators.vectors import cosine_pairs
 from pairloom.plans import views as v
@@ -334,3 +335,17 @@ def u2(spark, d):
 def u15(spark, d):
     rows = pairs.numbered(v.table(spark, d, "orders").select("o_orderkey"), "o_orderkey")
     return rows.agg(F.count("*").alias("n"), F.count_if(F.col("position").isin(0, 17, 99)).alias("got"), F.max(F.when(F.col("position") == 17, F.col("o_orderkey"))).alias("seventeenth"))
+
+
+GIVEN = {n: f"p_partkey // {1 << k} % 2 = 1" for k, n in enumerate(("fasta", "structures", "against", "against_structures", "window_size", "window_step"))}
+
+
+@query(
+    "f14_argument_checks",
+    f"""SELECT p_partkey, CASE WHEN ({GIVEN["fasta"]}) = ({GIVEN["structures"]}) THEN 'give either --fasta or --structures' WHEN {GIVEN["against"]} AND {GIVEN["against_structures"]} THEN '--against and --against-structures exclude each other'
+    WHEN {GIVEN["window_step"]} AND NOT {GIVEN["window_size"]} THEN '--window-step needs --window-size' END AS problem FROM part""",
+)
+def f14(spark, d):
+    """Each part number's bits say which options are given."""
+    bit = lambda k: F.shiftright("p_partkey", k).bitwiseAND(1) == 1
+    return v.table(spark, d, "part").select("p_partkey", options.problem_column(options.IDENTITY, {n: bit(k) for k, n in enumerate(GIVEN)}).alias("problem"))

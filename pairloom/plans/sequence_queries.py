@@ -33,9 +33,9 @@ def j13(spark, d):
     return rows.select("header", F.aggregate(S.tokens(F.col("sequence")), F.lit(0), lambda s, t: s + t).cast("long").alias("total"))
 
 
-@query("m16_token_pad_mask", "WITH t AS (SELECT header, length(sequence) AS n, max(length(sequence)) OVER () AS m FROM short) SELECT header, n, m - n AS padded FROM t", "short")
+@query("m16_token_pad_mask", "WITH t AS (SELECT header, length(sequence) AS n, max(length(sequence)) OVER () AS m FROM sequences) SELECT header, n, m - n AS padded FROM t", "sequences")
 def m16(spark, d):
-    rows = v.short_sequences(spark, d).select("header", S.tokens(F.col("sequence")).alias("t"))
+    rows = v.sequences(spark, d).select("header", S.tokens(F.col("sequence")).alias("t"))
     top = rows.agg(F.max(F.size("t")).alias("m"))
     full = rows.join(F.broadcast(top)).withColumn("t", F.concat("t", F.array_repeat(F.lit(S.PAD), F.col("m") - F.size("t"))))
     shut = F.filter("t", lambda x: x == S.PAD)
@@ -47,14 +47,14 @@ def k7(spark, d):
     return sequences.length_split(v.fasta(spark, d), 200).groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.length("sequence")).cast("long").alias("least"))
 
 
-@query("j9_all_pairs", "SELECT a.header AS header_i, b.header AS header_j FROM short a JOIN short b ON a.header < b.header", "short")
+@query("j9_all_pairs", "SELECT a.header AS header_i, b.header AS header_j FROM sequences a JOIN sequences b ON a.header < b.header", "sequences")
 def j9(spark, d):
-    return pairs.all_against_all(v.short_sequences(spark, d), "header", ["header"], 8)
+    return pairs.all_against_all(v.sequences(spark, d), "header", ["header"], 8)
 
 
-@query("j10_cross_pairs", "SELECT a.header AS header_i, b.header AS header_j FROM (SELECT * FROM short WHERE header < 'B0010') a, (SELECT * FROM short WHERE header >= 'B0010') b", "short")
+@query("j10_cross_pairs", "SELECT a.header AS header_i, b.header AS header_j FROM (SELECT * FROM sequences WHERE header < 'B0010') a, (SELECT * FROM sequences WHERE header >= 'B0010') b", "sequences")
 def j10(spark, d):
-    rows = v.short_sequences(spark, d)
+    rows = v.sequences(spark, d)
     return pairs.set_against_set(rows.where("header < 'B0010'"), rows.where("header >= 'B0010'"), ["header"], 4)
 
 
@@ -69,9 +69,9 @@ def u1_cross(spark, d):
     return sequences.cross_identities(rows.where("item_id % 50 = 0"), rows, 4)
 
 
-@query("a14_ungapped_identity", "SELECT a.header AS header_i, b.header AS header_j, round(CASE WHEN least(length(a.sequence), length(b.sequence)) = 0 THEN 0 ELSE list_sum(list_transform(range(1, least(length(a.sequence), length(b.sequence)) + 1), lambda k: (substr(a.sequence, k, 1) = substr(b.sequence, k, 1))::INTEGER))::DOUBLE / least(length(a.sequence), length(b.sequence)) END, 6) AS identity FROM short a JOIN short b ON a.header < b.header", "short")
+@query("a14_ungapped_identity", "SELECT a.header AS header_i, b.header AS header_j, round(CASE WHEN least(length(a.sequence), length(b.sequence)) = 0 THEN 0 ELSE list_sum(list_transform(range(1, least(length(a.sequence), length(b.sequence)) + 1), lambda k: (substr(a.sequence, k, 1) = substr(b.sequence, k, 1))::INTEGER))::DOUBLE / least(length(a.sequence), length(b.sequence)) END, 6) AS identity FROM sequences a JOIN sequences b ON a.header < b.header", "sequences")
 def a14(spark, d):
-    rows = pairs.all_against_all(v.short_sequences(spark, d), "header", ["header", "sequence"], 8)
+    rows = pairs.all_against_all(v.sequences(spark, d), "header", ["header", "sequence"], 8)
     return rows.select("header_i", "header_j", F.round(sequences.ungapped_identity(F.col("sequence_i"), F.col("sequence_j")), 6).alias("identity"))
 
 
@@ -101,10 +101,10 @@ def m23(spark, d):
     return v.fasta(spark, d).select("header", F.length("sequence").cast("long").alias("n"))
 
 
-@query("m25_four_decimals", "SELECT vec_id, CASE WHEN vec_id % 10 = 0 THEN 'nan' ELSE printf('%.4f', (vec_id % 64) / 64.0::DOUBLE) END AS text FROM embeddings WHERE vec_id % 64 % 4 = 0")
+@query("m25_four_decimals", "SELECT vec_id, CASE WHEN vec_id % 10 = 0 THEN 'nan' ELSE printf('%.4f', (vec_id % 64) / 64.0::DOUBLE) END AS text FROM embeddings")
 def m25(spark, d):
     value = F.when(F.col("vec_id") % 10 == 0, F.lit(None)).otherwise((F.col("vec_id") % 64) / 64.0)
-    return v.table(spark, d, "embeddings").where("vec_id % 64 % 4 = 0").select("vec_id", S.four_decimals(value).alias("text"))
+    return v.table(spark, d, "embeddings").select("vec_id", S.four_decimals(value).alias("text"))
 
 
 @query("m26_without_ends", "SELECT header, substr(sequence, 2, greatest(0, length(sequence) - 2)) AS inner_ FROM fasta WHERE sequence <> ''", "fasta")
@@ -113,7 +113,16 @@ def m26(spark, d):
     return v.fasta(spark, d).where("sequence <> ''").select("header", F.array_join(S.without_ends(letters), "").alias("inner_"))
 
 
-@query("w11_equal_pair_rows")
+BEFORE = "{0} * (n - 1) - {0} * ({0} - 1) // 2"
+
+
+@query(
+    "w11_equal_pair_rows",
+    f"""WITH RECURSIVE n AS (SELECT count(*)::BIGINT AS n FROM benchmark), ends AS (SELECT e, {BEFORE.format("e")} AS b FROM n, unnest(range(1, n + 1)) AS t(e)),
+    cuts AS (SELECT -1 AS worker, 0::BIGINT AS first, 0::BIGINT AS last UNION ALL
+      SELECT worker + 1, last, coalesce(CASE WHEN worker < 4 THEN (SELECT min(e) FROM ends WHERE e > cuts.last AND b >= {BEFORE.format("cuts.last")} + n * (n - 1) // 2 / 6) END, n) FROM cuts, n WHERE last < n)
+    SELECT worker, first::INTEGER AS first, last::INTEGER AS last, {BEFORE.format("last")} - ({BEFORE.format("first")}) AS pairs FROM cuts, n WHERE worker >= 0""",
+)
 def w11(spark, d):
     n = v.sequences(spark, d).count()
     ranges = sequences.equal_pair_rows(n, 6)

@@ -82,10 +82,10 @@ def s9(spark, d):
     return readers.read_ids(spark, path, distinct=True)
 
 
-@query("s10_list_with_header", "SELECT header AS entry FROM short", "short")
+@query("s10_list_with_header", "SELECT header AS entry FROM sequences", "sequences")
 def s10(spark, d):
     path = scratch(spark, "list")
-    sinks.write_pairs(v.short_sequences(spark, d).select(F.col("header").alias("anything")), path, header=True)
+    sinks.write_pairs(v.sequences(spark, d).select(F.col("header").alias("anything")), path, header=True)
     return readers.read_list_with_header(spark, path)
 
 
@@ -170,20 +170,20 @@ def s14(spark, d):
 
 
 NEAR = "sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2)"
-LISTS = f"SELECT a.i, string_agg(b.i::VARCHAR, chr(9) ORDER BY b.i) AS nbrs FROM points a JOIN points b ON a.unit = b.unit AND a.i <> b.i AND {NEAR} <= 8 WHERE a.unit = '1' GROUP BY a.i"
+LISTS = f"SELECT a.unit, a.i, string_agg(b.i::VARCHAR, chr(9) ORDER BY b.i) AS nbrs FROM points a JOIN points b ON a.unit = b.unit AND a.i <> b.i AND {NEAR} <= 8 GROUP BY a.unit, a.i"
 
 
-@query("k5_neighbour_lines", f"WITH l AS ({LISTS}) SELECT DISTINCT CASE WHEN nbrs IS NULL THEN p.i::VARCHAR ELSE p.i || chr(9) || nbrs END AS value FROM points p LEFT JOIN l USING (i) WHERE p.unit = '1'", "points")
+@query("k5_neighbour_lines", f"WITH l AS ({LISTS}) SELECT p.unit, CASE WHEN nbrs IS NULL THEN p.i::VARCHAR ELSE p.i || chr(9) || nbrs END AS value FROM points p LEFT JOIN l USING (unit, i)", "points")
 def k5(spark, d):
-    return sinks.neighbour_lines(structure.neighbour_lists(v.points(spark, d), 8.0).where("unit = '1'"))
+    return sinks.neighbour_lines(structure.neighbour_lists(v.points(spark, d), 8.0), keep=["unit"])
 
 
-@query("s17_neighbour_files", f"WITH l AS ({LISTS}) SELECT DISTINCT p.i::INTEGER AS i, coalesce(nbrs, '') AS nbrs FROM points p LEFT JOIN l USING (i) WHERE p.unit = '1'", "points")
+@query("s17_neighbour_files", f"WITH l AS ({LISTS}) SELECT p.unit, p.i::INTEGER AS i, coalesce(nbrs, '') AS nbrs FROM points p LEFT JOIN l USING (unit, i)", "points")
 def s17(spark, d):
     path = scratch(spark, "neighbours")
-    sinks.write_lines(k5(spark, d), path)
-    rows = readers.read_neighbours(spark, path)
-    return rows.select("i", F.array_join(F.transform("nbrs", lambda j: j.cast("string")), "\t").alias("nbrs"))
+    sinks.write_lines(k5(spark, d), path, by="unit")
+    rows = readers.read_neighbours(spark, path, by="unit")
+    return rows.select("unit", "i", F.array_join(F.transform("nbrs", lambda j: j.cast("string")), "\t").alias("nbrs"))
 
 
 @query("s18_last_class_wins", "SELECT brand AS domain, max_by(kind, k) AS class FROM (SELECT p_brand AS brand, p_type AS kind, p_partkey AS k FROM part) GROUP BY 1")
@@ -197,10 +197,10 @@ def s23(spark, d):
     return pairs.unique_ids(v.pairs(spark, d)).select("domain", F.concat("domain", F.lit(".pt")).alias("embedding"))
 
 
-@query("k1_vector_files", "SELECT vec_id AS id, count(*) AS n, round(sum(x), 5) AS total FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE vec_id < 40) GROUP BY vec_id")
+@query("k1_vector_files", "SELECT vec_id AS id, count(*) AS n, round(sum(x), 5) AS total FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY vec_id")
 def k1(spark, d):
     path = scratch(spark, "vectors")
-    rows = v.table(spark, d, "embeddings").where("vec_id < 40").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = v.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
     sinks.write_vector_files(rows, path)
     read = spark.read.schema("value STRING, id LONG").text(path)
     return read.groupBy("id").agg(F.count("*").alias("n"), F.round(F.sum(F.col("value").cast("double")), 5).alias("total"))
@@ -213,10 +213,10 @@ def k2(spark, d):
     return spark.read.parquet(path).select("vec_id", F.get("embedding", 0).alias("first"))
 
 
-@query("k6_fasta_file", "SELECT header, sequence FROM short", "short")
+@query("k6_fasta_file", "SELECT header, sequence FROM sequences", "sequences")
 def k6(spark, d):
     path = scratch(spark, "fasta")
-    sinks.write_fasta(v.short_sequences(spark, d), path)
+    sinks.write_fasta(v.sequences(spark, d), path)
     return readers.read_fasta(spark, path)
 
 
@@ -302,10 +302,10 @@ def k3(spark, d):
     return spark.read.parquet(path).select("domain", F.size("embedding").cast("long").alias("width"))
 
 
-@query("k13_files_of_keys", "SELECT vec_id AS id, CASE WHEN vec_id < 10 THEN 1 ELSE 64 END AS n FROM embeddings WHERE vec_id < 20")
+@query("k13_files_of_keys", "SELECT vec_id AS id, CASE WHEN vec_id % 10 = 3 THEN 1 ELSE 64 END AS n FROM embeddings")
 def k13(spark, d):
     path = scratch(spark, "keys")
-    rows = v.table(spark, d, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = v.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
     sinks.write_vector_files(rows, path)
-    sinks.write_vector_files(rows.where("id < 10").withColumn("embedding", F.array(F.lit(0.5))), path, replace_keys=True)
+    sinks.write_vector_files(rows.where("id % 10 = 3").withColumn("embedding", F.array(F.lit(0.5))), path, replace_keys=True)
     return spark.read.schema("value STRING, id LONG").text(path).groupBy("id").agg(F.count("*").cast("int").alias("n"))

@@ -120,18 +120,17 @@ def x1(spark, d):
     return vectors.top_cosine(rows.where("id % 50 = 0"), rows, 10).withColumn("cosine", R6(F.col("cosine")))
 
 
-LISTS = "SELECT domain, CAST(pos AS INTEGER) AS i, list_filter([CAST(pos - 2 AS INTEGER), CAST(pos + 1 AS INTEGER), CAST(pos + 5 AS INTEGER)], lambda x: x > 0 AND x <= 20) AS nbrs FROM residues WHERE pos <= 20"
+LISTS = "SELECT domain, CAST(pos AS INTEGER) AS i, list_filter([CAST(pos - 2 AS INTEGER), CAST(pos + 1 AS INTEGER), CAST(pos + 5 AS INTEGER)], lambda x: x > 0) AS nbrs FROM residues"
 
 
 def _lists(spark, d):
     i = F.col("pos").cast("int")
-    rows = v.residues(spark, d).where("pos <= 20")
-    return rows.select("domain", i.alias("i"), F.filter(F.array(i - 2, i + 1, i + 5), lambda x: (x > 0) & (x <= 20)).alias("nbrs"))
+    return v.residues(spark, d).select("domain", i.alias("i"), F.filter(F.array(i - 2, i + 1, i + 5), lambda x: x > 0).alias("nbrs"))
 
 
 @query(
     "m17_neighbour_mask",
-    f"""WITH lists AS ({LISTS}), size AS (SELECT domain, max(greatest(i, coalesce(list_max(nbrs), 0))) + 2 AS n FROM lists GROUP BY domain), cells AS (SELECT domain, n, r.r, c.c FROM size, range(40) r(r), range(40) c(c) WHERE r.r < n AND c.c < n)
+    f"""WITH lists AS ({LISTS}), size AS (SELECT domain, max(greatest(i, coalesce(list_max(nbrs), 0))) + 2 AS n FROM lists GROUP BY domain), cells AS (SELECT domain, n, r.r, c.c FROM size, unnest(range(n)) AS r(r), unnest(range(n)) AS c(c))
     SELECT cells.domain, CAST(r AS INTEGER) AS row, string_agg(CASE WHEN i IS NULL OR c = i OR list_contains(nbrs, c::INTEGER) THEN '0' ELSE '1' END, '' ORDER BY c) AS mask FROM cells LEFT JOIN lists ON lists.domain = cells.domain AND i = r GROUP BY ALL""",
     "residues",
 )
@@ -141,12 +140,12 @@ def m17(spark, d):
     return rows.select("domain", "row", F.array_join(F.transform("m", lambda x: x.cast("int").cast("string")), "").alias("mask"))
 
 
-@query("m18_mask_for_heads", "SELECT domain, h AS head, CAST(pos AS INTEGER) AS i FROM residues, range(4) t(h) WHERE pos <= 20", "residues")
+@query("m18_mask_for_heads", "SELECT domain, h AS head, CAST(pos AS INTEGER) AS i FROM residues, range(4) t(h)", "residues")
 def m18(spark, d):
     return _lists(spark, d).select("domain", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("head"), "i")
 
 
-@query("j15_mask_join", "SELECT r.domain, count(*) AS residues, any_value(n) AS listed FROM residues r JOIN (SELECT domain, count(*) AS n FROM residues WHERE pos <= 20 GROUP BY domain) USING (domain) GROUP BY r.domain", "residues")
+@query("j15_mask_join", "SELECT r.domain, count(*) AS residues, any_value(n) AS listed FROM residues r JOIN (SELECT domain, count(*) AS n FROM residues GROUP BY domain) USING (domain) GROUP BY r.domain", "residues")
 def j15(spark, d):
     lengths = v.residues(spark, d).groupBy("domain").agg(F.count("*").alias("residues"))
     return lengths.join(_lists(spark, d).groupBy("domain").agg(F.count("*").alias("listed")), "domain")
@@ -266,7 +265,7 @@ def u13(spark, d):
     return kvstore.delete(kvstore.put(store.limit(0), store), gone).agg(F.count("*").alias("n"), F.countDistinct("numbers").alias("different"))
 
 
-@query("t6_isolated_errors", "SELECT CASE WHEN label = 5 THEN 'failed' ELSE 'good' END AS kind, count(DISTINCT label) AS n FROM embeddings GROUP BY 1")
+@query("t6_isolated_errors", "SELECT CASE WHEN domain = '5' THEN 'failed' ELSE 'good' END AS kind, count(DISTINCT domain) AS n FROM residues GROUP BY 1", "residues")
 def t6(spark, d):
     rows = vectors.gathered(v.residues(spark, d)).withColumn("vecs", F.when(F.col("domain") == "5", F.slice("vecs", 1, 0)).otherwise(F.col("vecs")))
     done = models.predict(rows, models.TransformerAggregator(64, layers=1, seed=1), "domain", "vecs")

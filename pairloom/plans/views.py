@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairloom.functions.geometry import point
@@ -11,6 +11,8 @@ LINE = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l
 #: A total order of pairs: all columns of lineitem, whose rows are unique.
 ORDER_SQL = ", ".join(LINE)
 SCALE = 60.0
+#: A domain's residues are one label's vectors among so many ids in a row, so that larger tables have more domains and not longer ones.
+UNIT = 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,10 +42,12 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def residues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(domain, pos, vec, vec_id): a label's vectors in order of id."""
-    w = Window.partitionBy("label").orderBy("vec_id")
-    rows = table(spark, sf_dir, "embeddings").withColumn("pos", F.row_number().over(w))
-    return rows.select(F.col("label").cast("string").alias("domain"), "pos", F.col("embedding").alias("vec"), "vec_id")
+    """(domain, pos, vec, vec_id): a label's vectors of each UNIT of ids, in order of id; later units have their number in the name."""
+    unit = F.floor(F.col("vec_id") / UNIT)
+    label = F.col("label").cast("string")
+    rows = table(spark, sf_dir, "embeddings").withColumn("domain", F.when(unit == 0, label).otherwise(F.concat_ws("-", label, unit.cast("string"))))
+    w = Window.partitionBy("domain").orderBy("vec_id")
+    return rows.select("domain", F.row_number().over(w).alias("pos"), F.col("embedding").alias("vec"), "vec_id")
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,21 +73,22 @@ def atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    letters = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
-    return table(spark, sf_dir, "documents").select(F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("header"), F.substring(letters, 1, 400).alias("sequence"))
+def _letters() -> Column:
+    return F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
+
 
+LETTERS_SQL = "upper(regexp_replace(text, '[^A-Za-z]', '', 'g'))"
 
-def short_sequences(spark: SparkSession, sf_dir: str, length: int = 60) -> DataFrame:
-    letters = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
-    rows = table(spark, sf_dir, "benchmark").where("item_id < 40")
-    return rows.select(F.format_string("B%04d", "item_id").alias("header"), F.substring(letters, 1, length).alias("sequence"))
+
+def fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's letters, whole."""
+    return table(spark, sf_dir, "documents").select(F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("header"), _letters().alias("sequence"))
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every benchmark row's letters, whole."""
-    letters = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
-    return table(spark, sf_dir, "benchmark").select("item_id", F.format_string("B%04d", "item_id").alias("header"), letters.alias("sequence"))
+    """Every benchmark row's letters, whole; those that are no residue stand for one that they resemble."""
+    residues = F.translate(_letters(), "JOU", "LKC").alias("sequence")
+    return table(spark, sf_dir, "benchmark").select("item_id", F.format_string("B%04d", "item_id").alias("header"), residues)
 
 
 def kv_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +104,8 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PAIRS = "SELECT CAST(l_partkey AS VARCHAR) AS domain_i, CAST(l_suppkey AS VARCHAR) AS domain_j, CAST(l_quantity / 50 AS FLOAT) AS score, * FROM lineitem"
-RESIDUES = "SELECT CAST(label AS VARCHAR) AS domain, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS pos, embedding AS vec, vec_id FROM embeddings"
+DOMAIN = f"CASE WHEN vec_id < {UNIT} THEN CAST(label AS VARCHAR) ELSE label || '-' || vec_id // {UNIT} END"
+RESIDUES = f"SELECT {DOMAIN} AS domain, row_number() OVER (PARTITION BY label, vec_id // {UNIT} ORDER BY vec_id) AS pos, embedding AS vec, vec_id FROM embeddings"
 SQL = {
     "pairs": PAIRS,
     "dual_pairs": f"SELECT domain_i, domain_j, greatest(score, CAST(1 - l_discount * 5 AS FLOAT)) AS score_max, score FROM ({PAIRS})",
@@ -113,8 +119,8 @@ SQL = {
       ['ALA', 'GLY', 'MSE', 'UNK', 'LYS', 'HOH', 'SER', 'LIGAND'][vec_id % 8 + 1] AS res_name, CASE WHEN vec_id % 5 = 4 THEN 'CB' ELSE 'CA' END AS atom_name,
       CASE WHEN vec_id % 9 = 7 THEN 'B' ELSE '.' END AS alt_loc, vec_id % 8 = 5 AS hetero, vec_id % 3 AS entity,
       vec[1]::DOUBLE * {SCALE} AS x, vec[2]::DOUBLE * {SCALE} AS y, vec[3]::DOUBLE * {SCALE} AS z FROM ({RESIDUES})""",
-    "fasta": "SELECT 'D' || doc_id AS header, substr(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 1, 400) AS sequence FROM documents",
-    "short": "SELECT printf('B%04d', item_id) AS header, substr(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 1, 60) AS sequence FROM benchmark WHERE item_id < 40",
+    "fasta": f"SELECT 'D' || doc_id AS header, {LETTERS_SQL} AS sequence FROM documents",
+    "sequences": f"SELECT item_id, printf('B%04d', item_id) AS header, translate({LETTERS_SQL}, 'JOU', 'LKC') AS sequence FROM benchmark",
     "kv_log": "SELECT CAST(user_id AS VARCHAR) AS id, event_id AS seq, CASE WHEN event_id % 7 = 0 THEN 'delete' WHEN event_id % 3 = 0 THEN 'update' ELSE 'set' END AS op, printf('[%d.0,%d.5]', event_id, user_id) AS numbers FROM events",
     "predictions": f"SELECT CASE WHEN score > 0.7::FLOAT THEN 1 ELSE 0 END AS label, score, 1 - l_discount * 5 - l_tax AS pred, l_returnflag FROM ({PAIRS})",
 }

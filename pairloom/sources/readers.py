@@ -83,12 +83,17 @@ def read_fasta(spark: SparkSession, path: str, whole_header: bool = False, alpha
     return named.groupBy("header").agg(F.max_by("sequence", "at").alias("sequence"))
 
 
-def read_neighbours(spark: SparkSession, path: str) -> DataFrame:
-    """(i, nbrs) of ragged tab-separated lines; blank lines are skipped, and of lines with one index the last counts."""
-    lines = spark.read.text(path).where("trim(value) <> ''").withColumn("at", F.monotonically_increasing_id())
-    numbers = lines.select("at", F.split("value", "\t").cast("array<int>").alias("n"))
-    rows = numbers.select("at", F.get("n", 0).alias("i"), F.slice("n", F.lit(2), F.size("n")).alias("nbrs"))
-    return rows.groupBy("i").agg(F.max_by("nbrs", "at").alias("nbrs"))
+def read_neighbours(spark: SparkSession, path: str, by: str | None = None) -> DataFrame:
+    """(i, nbrs) of ragged tab-separated lines; blank lines are skipped, and of lines with one index the last counts.
+
+    With `by`, of a directory for each of its values, which is a first column then.
+    """
+    own = [by] if by else []
+    lines = spark.read.schema(", ".join(["value STRING", *[f"{c} STRING" for c in own]])).text(path)
+    lines = lines.where("trim(value) <> ''").withColumn("at", F.monotonically_increasing_id())
+    numbers = lines.select(*own, "at", F.split("value", "\t").cast("array<int>").alias("n"))
+    rows = numbers.select(*own, "at", F.get("n", 0).alias("i"), F.slice("n", F.lit(2), F.size("n")).alias("nbrs"))
+    return rows.groupBy(*own, "i").agg(F.max_by("nbrs", "at").alias("nbrs"))
 
 
 def last_of_each(rows: DataFrame, key: str, order: str) -> DataFrame:

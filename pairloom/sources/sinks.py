@@ -37,14 +37,18 @@ def write_vectors(vectors: DataFrame, path: str) -> None:
     vectors.write.mode("overwrite").parquet(path)
 
 
-def neighbour_lines(lists: DataFrame, token=None, nbrs: str = "nbrs") -> DataFrame:
-    """(value): one line a residue, its token and those of its neighbours, tab-separated. token maps an index column."""
+def neighbour_lines(lists: DataFrame, token=None, nbrs: str = "nbrs", keep: list[str] | None = None) -> DataFrame:
+    """(keep..., value): one line a residue, its token and those of its neighbours, tab-separated. token maps an index column."""
     token = token or (lambda i: i.cast("string"))
-    return lists.select(F.array_join(F.concat(F.array(token(F.col("i"))), F.transform(nbrs, token)), "\t").alias("value"))
+    return lists.select(*(keep or []), F.array_join(F.concat(F.array(token(F.col("i"))), F.transform(nbrs, token)), "\t").alias("value"))
 
 
-def write_lines(lines: DataFrame, path: str, single: bool = False) -> None:
-    _out(lines.select("value"), single).text(path)
+def write_lines(lines: DataFrame, path: str, single: bool = False, by: str | None = None) -> None:
+    """Lines of text; with `by`, in a directory for each of its values."""
+    if by is None:
+        _out(lines.select("value"), single).text(path)
+    else:
+        _out(lines.repartition(by).select(by, "value")).partitionBy(by).text(path)
 
 
 def fasta_records(sequences: DataFrame) -> DataFrame:

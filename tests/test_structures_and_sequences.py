@@ -93,6 +93,36 @@ def test_equal_pair_rows_cover_all_rows():
         assert [k for a, b in ranges for k in range(a, b)] == list(range(n)) and len(ranges) <= workers
     loads = [sum(99 - i for i in range(a, b)) for a, b in sequences.equal_pair_rows(100, 7)]
     assert max(loads) < 1.2 * 99 * 100 / 2 / 7
+    assert sequences.equal_pair_rows(40, 6)[1:3] == [(4, 8), (8, 13)]
+    assert [sequences.equal_pair_rows(n, w) for n, w in ((0, 3), (1, 1), (1, 4), (2, 1))] == [[], [(0, 1)], [(0, 1)], [(0, 2)]]
+    assert sequences.equal_pair_rows(10**9, 3)[0][0] == 0
+
+
+def test_symbols_of_sequences():
+    scores = sequences.substitution()
+    assert sequences.identity("ac*de", "AC*DE", scores) == 1.0 and sequences.identity("", "AC", scores) == 0.0
+    assert all(np.isnan(sequences.identity(bad, "ACDE", scores)) and np.isnan(sequences.identity("ACDE", bad, scores)) for bad in ("ACJE", "ACO", "U", "AC-E", "é"))
+    # score, equal pairs: end gaps cost nothing, an inner gap 10 and 1 for each further one
+    assert sequences.align("ACDEFGHIKL", "DEFGHI", scores) == (6 + 5 + 6 + 6 + 8 + 4, 6)
+    assert sequences.align("WWWWCCWWWW", "WWWWWWWW", scores) == (8 * 11 - 11, 8)
+
+
+def test_four_decimals_are_those_of_the_exact_value(spark):
+    from pairloom.functions.sequences import four_decimals
+
+    values = [k / 64 for k in range(200)] + [0.00005, 0.00015, 0.12345, 1 / 3, 2 / 3, 1.0, 0.0, 0.99995, 0.999949999, 123456.78905, -0.00003, -1.00005, 1e12, 2.5e-5, float("nan")]
+    rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", four_decimals(F.col("x")).alias("t")).collect()
+    assert all(r.t == f"{r.x:.4f}" for r in rows)
+
+
+def test_windows_of_very_long_and_odd_steps(spark):
+    text = "".join("ACDEFGHIKL"[k * k % 10] for k in range(200_003))
+    rows = spark.createDataFrame([("s", text), ("t", "ACD"), ("e", "")], "header string, sequence string")
+    for size, step in ((50, 30), (7, 7), (5, 9)):
+        got = {r.header: r.sequence for r in sequences.windows(rows, size, step).collect()}
+        starts = list(range(0, len(text) - size + 1, step))
+        starts += [len(text) - size] * (starts[-1] + size < len(text))
+        assert got == {f"s|{a + 1}-{a + size}": text[a : a + size] for a in starts} | {"t|1-3": "ACD".ljust(size, "X"), "e|1-0": "X" * size}
 
 
 def _write(spark, label: str, text: str) -> str:

@@ -16,7 +16,7 @@ QUERIES = registry.queries()
 
 
 def test_identities_are_of_all_whole_texts(spark):
-    items = {f"B{r.item_id:04d}": (r.item_id, re.sub("[^A-Za-z]", "", r.text).upper()) for r in v.table(spark, oracle.DATA, "benchmark").collect()}
+    items = {f"B{r.item_id:04d}": (r.item_id, re.sub("[^A-Za-z]", "", r.text).upper().translate(str.maketrans("JOU", "LKC"))) for r in v.table(spark, oracle.DATA, "benchmark").collect()}
     scores, n = sequences.substitution(), len(items)
     cross = {(r.seq1, r.seq2): r.sequence_identity for r in QUERIES["u1_cross_identity"](spark, oracle.DATA).collect()}
     assert set(cross) == {(a, b) for a in items for b in items if items[a][0] % 50 == 0}
