@@ -150,7 +150,8 @@ def windows(sequences: DataFrame, size: int, step: int) -> DataFrame:
     end = F.struct((n - size).alias("at"), F.right("sequence", F.lit(size)).alias("piece"))
     tail = F.when((n - size) % step != 0, F.array(end)).otherwise(F.filter(F.array(end), lambda w: F.lit(False)))
     alone = F.array(F.struct(F.lit(0).alias("at"), F.rpad("sequence", size, "X").alias("piece")))
-    rows = sequences.select("header", n.alias("n"), F.explode(F.when(n <= size, alone).otherwise(F.concat(whole, tail))).alias("w"))
+    # the array is a column first, so that its windows are not multiplied with the text
+    rows = sequences.select("header", n.alias("n"), F.when(n <= size, alone).otherwise(F.concat(whole, tail)).alias("windows")).select("header", "n", F.explode("windows").alias("w"))
     last = F.least(F.col("n"), F.col("w.at") + size)
     return rows.select(F.concat("header", F.lit("|"), (F.col("w.at") + 1).cast("string"), F.lit("-"), last.cast("string")).alias("header"), F.col("w.piece").alias("sequence"))
 
