@@ -4,7 +4,7 @@ With M the greatest norm, x' = (x, sqrt(M^2 - |x|^2)) and q' = (q, 0) have |q' -
 the largest inner products are the nearest points. A Gaussian (2-stable) projection to m dimensions turns a
 distance r into r^2 times a chi-square variable of m degrees. If the k-th best found so far has distance r_k,
 a better point lies within a projected distance of r_k * sqrt(quantile(confidence)) with that confidence; points
-are verified in order of projected distance until none is left within it.
+are verified in order of projected distance, leaf after leaf, until none is left within it.
 
 The kd-tree's splits come from a bounded sample; every vector is then placed in its leaf, and leaves are the units
 of work. Queries visit leaves in order of their boxes' distance, in rounds (the first, then up to the 8th, the 64th, ...);
@@ -30,6 +30,7 @@ from pairloom.llm.common import discard, spool
 
 SAMPLES_A_LEAF = 64
 MAX_LEAVES = 4096
+QUERIES_AT_ONCE = 128
 
 
 def chi_square_cdf(x: float, m: int) -> float:
@@ -98,31 +99,19 @@ class Tree:
         return np.einsum("ij,ij->i", off, off)
 
 
-def _verify(x: np.ndarray, ids: np.ndarray, px: np.ndarray, q: np.ndarray, pq: np.ndarray, radius: float, spread: float, tree: Tree, keep: int) -> tuple[np.ndarray, np.ndarray]:
-    """The best `keep` of one leaf for one query, as (ids, scores): points in order of projected distance, in growing
-    steps, until the next lies beyond sqrt(spread) times the distance of the keep-th best."""
-    gap = px - pq
-    squares = np.einsum("ij,ij->i", gap, gap)
-    near = np.flatnonzero(squares <= spread * radius)
-    if not len(near):
-        return ids[:0], np.empty(0)
-    near = near[np.argsort(squares[near], kind="stable")]
-    at, step, best_at, best = 0, 4 * keep, np.empty(0, np.int64), np.empty(0)
-    base = float(q @ q) + tree.max_square
-    known = (base - radius) / 2  # the keep-th best score of earlier rounds: what lies below it cannot matter
-    while at < len(near) and squares[near[at]] <= spread * radius:
-        part = near[at : at + step]
-        rough = x[part] @ q
-        floor = max(known, best[-1] if len(best) == keep else -np.inf)
-        part = part[rough >= floor - 1e-9 * (1 + abs(floor))] if np.isfinite(floor) else part
-        exact = (x[part] * q).sum(axis=1)  # row by row, so that equal vectors score equally wherever they are
-        all_at, scores = np.concatenate([best_at, part]), np.concatenate([best, exact])
-        order = np.lexsort((ids[all_at], -scores))[:keep]
-        best_at, best = all_at[order], scores[order]
-        if len(best) == keep:
-            radius = min(radius, max(0.0, base - 2 * best[-1]) * (1 + 1e-12))
-        at, step = at + step, step * 2
-    return ids[best_at], best
+def _verify(x: np.ndarray, px: np.ndarray, q: np.ndarray, pq: np.ndarray, radius: np.ndarray, spread: float, tree: Tree, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, point, score) of the best `keep` of one leaf, and what ties with them, for each query: of the points whose projected
+    distance passes the test with the squared radius known by now, and whose score can matter beside it."""
+    squares = (px * px).sum(axis=1) + (pq * pq).sum(axis=1)[:, None] - 2 * pq @ px.T
+    rough = q @ x.T
+    slack = lambda v: 1e-9 * (1 + np.abs(v))  # products of many rows at once differ in their last digits
+    known = ((q * q).sum(axis=1) + tree.max_square - radius) / 2  # the keep-th best score of earlier rounds
+    ok = (squares <= (spread * radius + slack(spread * radius))[:, None]) & (rough >= (known - slack(known))[:, None])
+    if len(x) > keep:
+        last = np.partition(np.where(ok, rough, -np.inf), len(x) - keep, axis=1)[:, len(x) - keep]
+        ok &= rough >= (last - slack(last))[:, None]
+    who, at = np.nonzero(ok)
+    return who, at, (x[at] * q[who]).sum(axis=1)  # row by row, so that equal vectors score equally wherever they are
 
 
 def usable(vector: Column, dim: int | None = None) -> Column:
@@ -220,9 +209,11 @@ def nearest(
             ids = right.column("point").to_numpy()
             x, q = (_matrix(t.column("vector").combine_chunks(), dim) for t in (right, left))
             px, pq = tree.place(x, False), tree.place(q, True)
-            for i, radius in enumerate(left.column("radius").to_numpy()):
-                found, scores = _verify(x, ids, px, q[i], pq[i], radius, spread, tree, keep)
-                out.append((np.full(len(found), askers[i]), found, scores))
+            radius = left.column("radius").to_numpy()
+            for k in range(0, len(askers), QUERIES_AT_ONCE):
+                some = slice(k, k + QUERIES_AT_ONCE)
+                who, at, scores = _verify(x, px, q[some], pq[some], radius[some], spread, tree, keep)
+                out.append((askers[some][who], ids[at], scores))
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
         return pa.table({"asker": pa.array(columns[0], pa.int64()), "point": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
 
