@@ -48,9 +48,7 @@ def _tokenise(path: str, window: int):
         for b in batches:
             sizes, crcs, tails, sketches = [], [], [], []
             for text in b.column(1):
-                ids = encode(bpe, text.as_py() or "")
-                ids.append(END_ID)
-                ids = np.array(ids, "<u4")
+                ids = np.append(encode(bpe, text.as_py() or ""), np.uint32(END_ID)).astype("<u4", copy=False)
                 whole = len(ids) // window * window
                 sizes.append(len(ids))
                 crcs.append([zlib.crc32(ids[k : k + window]) for k in range(0, whole, window)])

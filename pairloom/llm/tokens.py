@@ -6,6 +6,7 @@ import functools
 import json
 import re
 
+import numpy as np
 import public_tokenizers
 import tiktoken
 
@@ -27,21 +28,25 @@ def byte_bpe(path: str) -> tiktoken.Encoding:
     (tests compare them), several times as fast. Strings of special tokens are ordinary text."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    special = {t["content"] for t in spec.get("added_tokens", []) if t.get("special")}
+    special = {t["content"]: t["id"] for t in spec.get("added_tokens", []) if t.get("special")}
     alphabet = byte_alphabet()
     ranks = {bytes(alphabet[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in special}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
-def encode(bpe: tiktoken.Encoding, text: str) -> list[int]:
+def _plain(bpe: tiktoken.Encoding, text: str) -> np.ndarray:
+    """The ids, without a Python number for each; no special token is allowed, so that their strings are ordinary text."""
+    return bpe.encode_to_numpy(text, disallowed_special=())
+
+
+def encode(bpe: tiktoken.Encoding, text: str) -> np.ndarray:
     """The ids of a text. The pattern takes a run of white space, less its last character where something follows, as one
     piece; long runs are cut out by that rule and merged without the matcher."""
     if len(text) < 4096 or not (found := list(LONG_SPACE.finditer(text))):
-        return bpe.encode_ordinary(text)
+        return _plain(bpe, text)
     ids, at = [], 0
     for m in found:
         end = m.end() if m.end() == len(text) else m.end() - 1
-        ids += bpe.encode_ordinary(text[at : m.start()])
-        ids += bpe._encode_single_piece(text[m.start() : end])
+        ids += [_plain(bpe, text[at : m.start()]), np.array(bpe._encode_single_piece(text[m.start() : end]), np.uint32)]
         at = end
-    return ids + bpe.encode_ordinary(text[at:])
+    return np.concatenate([*ids, _plain(bpe, text[at:])])
