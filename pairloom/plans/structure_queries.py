@@ -76,7 +76,7 @@ def j16(spark, d):
     return v.atoms(spark, d).groupBy("res_name", S.residue_letter(F.col("res_name")).alias("letter")).agg(F.count("*").alias("n"))
 
 
-@query("j14_assembly_chains", "WITH a AS (SELECT label, c FROM (SELECT DISTINCT label FROM embeddings), (VALUES ('A', 1), ('B', 2), ('Z', 3)) t(c, o)), n AS (SELECT unit, chain, count(*) AS n FROM atoms GROUP BY ALL) SELECT unit, chain, n FROM a JOIN n ON unit = CAST(label AS VARCHAR) AND chain = c", "atoms")
+@query("j14_assembly_chains", "WITH a AS (SELECT u, c FROM (SELECT DISTINCT unit AS u FROM atoms), (VALUES ('A', 1), ('B', 2), ('Z', 3)) t(c, o)), n AS (SELECT unit, chain, count(*) AS n FROM atoms GROUP BY ALL) SELECT unit, chain, n FROM a JOIN n ON unit = u AND chain = c", "atoms")
 def j14(spark, d):
     units = v.atoms(spark, d).select("unit").distinct()
     wanted = units.select("unit", F.explode(F.array(F.lit("A"), F.lit("B"), F.lit("Z"))).alias("chain"))
