@@ -117,19 +117,25 @@ def _align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"seq1": b["header_i"], "seq2": b["header_j"], "sequence_identity": values})
 
 
+def _dealt(pairs: DataFrame) -> DataFrame:
+    """Pairs over all cores: they are few bytes, which would be put together into few tasks, but much work."""
+    spark = pairs.sparkSession
+    return pairs.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
+
+
 RESULT = "seq1 string, seq2 string, sequence_identity double"
 
 
 def identities(sequences: DataFrame, block: int = 16) -> DataFrame:
     """(seq1, seq2, sequence_identity) of each unordered pair of sequences, by alignment; seq1 is the smaller header."""
     rows = sequences.select("header", F.coalesce("sequence", F.lit("")).alias("sequence"))
-    return all_against_all(rows, "header", ["header", "sequence"], block).mapInPandas(_align, RESULT)
+    return _dealt(all_against_all(rows, "header", ["header", "sequence"], block)).mapInPandas(_align, RESULT)
 
 
 def cross_identities(left: DataFrame, right: DataFrame, block: int = 8) -> DataFrame:
     """(seq1, seq2, sequence_identity) of each sequence of left with each of right."""
     rows = [d.select("header", F.coalesce("sequence", F.lit("")).alias("sequence")) for d in (left, right)]
-    return set_against_set(*rows, ["header", "sequence"], block).mapInPandas(_align, RESULT)
+    return _dealt(set_against_set(*rows, ["header", "sequence"], block)).mapInPandas(_align, RESULT)
 
 
 def ungapped_identity(a, b):
