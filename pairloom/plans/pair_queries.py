@@ -191,6 +191,18 @@ def a12(spark, d):
     return metrics.roc_auc(v.predictions(spark, d), "label", "pred").select(R6(F.col("roc_auc")).alias("roc_auc"))
 
 
+@query(
+    "a21_mean_of_workers",
+    """WITH t AS (SELECT l_returnflag AS w, pred, count(*) FILTER (WHERE label = 1) AS p, count(*) FILTER (WHERE label = 0) AS n FROM predictions GROUP BY ALL),
+    r AS (SELECT *, sum(p) OVER (PARTITION BY w ORDER BY pred DESC) AS tp, sum(n) OVER (PARTITION BY w ORDER BY pred DESC) AS fp FROM t),
+    a AS (SELECT w, sum(p * tp / (tp + fp)) / sum(p) AS pr, 1 - sum(p * (fp - n / 2)) / (sum(p)::DOUBLE * sum(n)) AS roc FROM r GROUP BY w)
+    SELECT round(avg(pr), 6) AS pr_auc, round(avg(roc), 6) AS roc_auc FROM a""",
+    "predictions",
+)
+def a21(spark, d):
+    return metrics.mean_of_workers(v.predictions(spark, d), "label", "pred", "l_returnflag").select(R6(F.col("pr_auc")).alias("pr_auc"), R6(F.col("roc_auc")).alias("roc_auc"))
+
+
 @query(
     "a13_cross_entropy",
     """WITH t AS (SELECT label AS grp, CAST(vec_id % 5 AS INTEGER) AS target, embedding[1:5]::DOUBLE[] AS logits FROM embeddings)
