@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.functions import options
-from pairloom.operators import metrics, pairs, sequences, structure, vectors, weights
+from pairloom.operators import metrics, models, pairs, sequences, structure, vectors, weights
 from pairloom.session import ship
 from pairloom.sources import readers, sinks
 
@@ -32,6 +32,11 @@ def parser() -> argparse.ArgumentParser:
     add("weights", "weights of scored pairs", ("--pairs", {"required": True}), ("--exclude", {}), ("--bins", {"type": int, "default": 5}), ("--identity-scale", {"type": float, "default": 0.25}))
     add("folds", "train and test pairs of a class fold", ("--pairs", {"required": True}), ("--classes", {"required": True}), ("--fold", {"type": int, "required": True}), ("--folds", {"type": int, "required": True}))
     add("evaluate", "error and areas of predictions (label, score, prediction)", ("--predictions", {"required": True}))
+    net = (("--network", {"default": "transformer", "choices": sorted(models.NETWORKS)}), ("--weights", {}), ("--set", {"action": "append", "default": [], "metavar": "NAME=NUMBER"}))
+    add("embed", "pooled vectors of listed domains", ("--ids", {"required": True}), ("--vectors", {"required": True}), *net)
+    add("assemblies", "pooled vectors of assemblies from those of their chains (unit.chain)", ("--assemblies", {"required": True}), ("--vectors", {"required": True}), ("--max-residues", {"type": int, "required": True}), *net)
+    add("sequences", "sequences of chains, with their class where there is one", ("--structures", {"required": True}), ("--classes", {}))
+    add("coordinates", "coordinates and sequences of all domains of scored pairs", ("--pairs", {"required": True}), ("--structures", {"required": True}))
     return top
 
 
@@ -131,7 +136,55 @@ def evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
     sinks.write_vectors(areas.join(metrics.mse(rows, "prediction", "score")), a.out)
 
 
-COMMANDS = {"identity": identity, "neighbours": neighbours, "sanitise": sanitise, "split": split, "mean": mean, "weights": weigh, "folds": folds, "evaluate": evaluate}
+def _pool(spark: SparkSession, a: argparse.Namespace, residues: DataFrame, wanted: DataFrame) -> None:
+    """The network on each domain's vectors: out/embeddings, and out/failures for what is listed and has none."""
+    first = residues.select(F.size("vec").alias("n")).first()
+    made = models.network(a.network, first.n if first else 1, **{k: int(n) for k, n in (s.split("=", 1) for s in a.set)})
+    if a.weights:
+        made = models.with_weights(made, models.load_weights(a.weights))
+    found = wanted.join(models.predict(vectors.gathered(residues), made, "domain", "vecs"), "domain", "left")
+    found = found.withColumn("error", F.when(F.col("embedding").isNull(), F.coalesce("error", F.lit("no vectors"))))
+    sinks.write_with_failures(found, f"{a.out}/embeddings", f"{a.out}/failures")
+
+
+def embed(spark: SparkSession, a: argparse.Namespace) -> None:
+    wanted = readers.read_ids(spark, a.ids, "domain", distinct=True)
+    _pool(spark, a, spark.read.parquet(a.vectors).join(wanted, "domain", "left_semi"), wanted)
+
+
+def assemblies(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Lines of --assemblies: an assembly and, after a tab each, its chains in order. Chains without vectors are left out, and
+    the chain that takes the residues beyond the limit is the last."""
+    parts = F.split("line", "\t")
+    listed = readers.read_ids(spark, a.assemblies, "line", distinct=True).select(F.get(parts, 0).alias("assembly"), F.posexplode(F.slice(parts, 2, 1 << 20)).alias("at", "chain"))
+    wanted = readers.read_ids(spark, a.assemblies, "line").select(F.get(parts, 0).alias("domain")).distinct()
+    rows = spark.read.parquet(a.vectors).withColumnRenamed("domain", "chain").join(listed.select("chain").distinct(), "chain", "left_semi")
+    sizes = rows.groupBy("chain").agg(F.count("*").alias("n"))
+    used = vectors.within_limit(listed.join(sizes, "chain"), a.max_residues, "n", "assembly", "at")
+    # a residue's place is (place of the chain, place in it), which sorts as a struct
+    residues = used.join(rows, "chain").select(F.col("assembly").alias("domain"), F.struct("at", "pos").alias("pos"), "vec")
+    _pool(spark, a, residues, wanted)
+
+
+def extract(spark: SparkSession, a: argparse.Namespace) -> None:
+    rows = structure.chain_records(chains(spark, a.structures)).select("unit", "chain", F.col("seq").alias("sequence"))
+    named = F.concat_ws("|", "unit", "chain")
+    if a.classes:
+        known = readers.last_of_each(readers.read_classes(spark, a.classes).withColumn("at", F.monotonically_increasing_id()), "domain", "at")
+        rows = pairs.enrich(rows, known.select(F.col("domain").alias("unit"), "class"), "unit", "class")
+        named = F.concat_ws("|", "unit", "chain", "class")
+    sinks.write_fasta(rows.select(named.alias("header"), "sequence"), a.out)
+
+
+def coordinates(spark: SparkSession, a: argparse.Namespace) -> None:
+    wanted = pairs.unique_ids(readers.read_pairs(spark, a.pairs))
+    atoms = chains(spark, a.structures).join(wanted.withColumnRenamed("domain", "unit"), "unit", "left_semi")
+    whole = structure.chain_records(atoms.withColumn("chain", F.lit("")))  # a domain's chains are one record
+    found = wanted.join(whole.select(F.col("unit").alias("domain"), "cas", "seq"), "domain", "left")
+    sinks.write_with_failures(found.withColumn("error", F.when(F.col("seq").isNull(), "no structure")), f"{a.out}/records", f"{a.out}/failures")
+
+
+COMMANDS = {"identity": identity, "neighbours": neighbours, "sanitise": sanitise, "split": split, "mean": mean, "weights": weigh, "folds": folds, "evaluate": evaluate, "embed": embed, "assemblies": assemblies, "sequences": extract, "coordinates": coordinates}
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:

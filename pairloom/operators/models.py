@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame
 Weights = dict[str, np.ndarray]
 
 
-def linear(r: np.random.Generator, n_in: int, n_out: int) -> tuple[np.ndarray, np.ndarray]:
+def linear(r: np.random.Generator, n_in: int, n_out: int) -> list[np.ndarray]:
     bound = 1 / math.sqrt(n_in)
-    return r.uniform(-bound, bound, (n_in, n_out)), r.uniform(-bound, bound, n_out)
+    return [r.uniform(-bound, bound, (n_in, n_out)), r.uniform(-bound, bound, n_out)]
 
 
 def layer_norm(x: np.ndarray, eps: float = 1e-5) -> np.ndarray:
@@ -149,6 +149,63 @@ class SequenceAutoencoder:
         return x @ self.to_logits[0] + self.to_logits[1]
 
 
+NETWORKS = {"linear": LinearAggregator, "transformer": TransformerAggregator}
+
+
+def network(name: str, width: int, **settings: int) -> Callable:
+    """The named pooling network for vectors of a width; a linear one is as wide as its input unless told otherwise."""
+    if name not in NETWORKS:
+        raise ValueError(f"no network {name}; there are {', '.join(sorted(NETWORKS))}")
+    if name == "linear":
+        return LinearAggregator(width, settings.pop("out", width), **settings)
+    return NETWORKS[name](width, **settings)
+
+
+def _slots(part, name: str = "") -> Iterator[tuple[str, object, object]]:
+    """(name, holder, key) of each array of a network, down through its parts."""
+    inside = enumerate(part) if isinstance(part, list) else (part if isinstance(part, dict) else vars(part)).items()
+    for key, value in inside:
+        at = f"{name}.{key}" if name else str(key)
+        if isinstance(value, np.ndarray):
+            yield at, part, key
+        elif isinstance(value, list | dict) or hasattr(value, "__dict__"):
+            yield from _slots(value, at)
+
+
+def _at(holder, key) -> np.ndarray:
+    return holder[key] if isinstance(holder, list | dict) else getattr(holder, key)
+
+
+def weights_of(network: Callable) -> Weights:
+    """A network's arrays by name."""
+    return {name: _at(holder, key) for name, holder, key in _slots(network)}
+
+
+def with_weights(network: Callable, weights: Weights) -> Callable:
+    """The network with these arrays in place of its own; names and shapes have to be the same."""
+    own = weights_of(network)
+    wrong = sorted(set(own) ^ set(weights)) or sorted(n for n in own if own[n].shape != weights[n].shape)
+    if wrong:
+        raise ValueError(f"weights do not fit the network: {', '.join(wrong)}")
+    for name, holder, key in list(_slots(network)):
+        if isinstance(holder, list | dict):
+            holder[key] = weights[name]
+        else:
+            setattr(holder, key, weights[name])
+    return network
+
+
+def save_weights(network: Callable, path: str) -> None:
+    """One file of plain arrays, which load_weights reads."""
+    with open(path, "wb") as f:
+        np.savez(f, **weights_of(network))
+
+
+def load_weights(path: str) -> Weights:
+    with np.load(path, allow_pickle=False) as f:
+        return {name: f[name] for name in f.files}
+
+
 def predict(rows: DataFrame, network: Callable, key: str, value: str, mask: str | None = None) -> DataFrame:
     """(key, embedding, error): the network on each row's array; a failing row has its error and no embedding, and a
     null array neither."""

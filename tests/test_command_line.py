@@ -1,11 +1,12 @@
 from __future__ import annotations
 
+import numpy as np
 import oracle
 import pytest
 from pyspark.sql import functions as F
 
 from pairloom.__main__ import checked, main, parser
-from pairloom.operators import sequences
+from pairloom.operators import models, sequences
 from pairloom.plans import views as v
 from pairloom.session import scratch
 from pairloom.sources import readers, sinks
@@ -62,3 +63,47 @@ def test_sanitise_folds_and_evaluation(spark):
     sinks.write_vectors(v.predictions(spark, oracle.DATA).select("label", F.col("score").cast("double").alias("score"), F.col("pred").alias("prediction")), vectors)
     main(["evaluate", "--predictions", vectors, "--out", out], spark)
     assert set(spark.read.parquet(out).columns) == {"roc_auc", "pr_auc", "mse"}
+
+
+def test_embeddings_of_ids_and_assemblies(spark, tmp_path):
+    vectors, lists, out = scratch(spark, "cli-vectors"), scratch(spark, "cli-lists"), scratch(spark, "cli-out")
+    rows = {"u.A": [[1.0, 2.0], [3.0, 5.0]], "u.B": [[0.5, 0.25]], "u.C": [[9.0, 1.0]]}
+    sinks.write_vectors(spark.createDataFrame([(d, k, x) for d, xs in rows.items() for k, x in enumerate(xs)], "domain string, pos int, vec array<double>"), vectors)
+    net = models.network("transformer", 2, heads=1, hidden=4, layers=1, seed=7)
+    models.save_weights(net, str(tmp_path / "w.npz"))
+    network = f"--network transformer --set heads=1 --set hidden=4 --set layers=1 --weights {tmp_path}/w.npz".split()
+
+    def written(text: str) -> str:
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(lists)
+        return lists
+
+    def expect(want: dict[str, list]) -> None:
+        got = {r.domain: r.embedding for r in spark.read.parquet(f"{out}/embeddings").collect()}
+        assert set(got) == set(want)
+        for k, x in want.items():
+            assert got[k] == pytest.approx(net(np.array(x)).tolist())
+
+    main(["embed", "--ids", written("u.A\nu.C\nu.X\nu.A"), "--vectors", vectors, *network, "--out", out], spark)
+    expect({k: rows[k] for k in ("u.A", "u.C")})
+    assert [(r.domain, r.error) for r in spark.read.parquet(f"{out}/failures").collect()] == [("u.X", "no vectors")]
+    main(["assemblies", "--assemblies", written("u-1\tu.C\tu.X\tu.A\tu.B\nu-2\tu.B\tu.B\nu-3\tu.X"), "--vectors", vectors, "--max-residues", "2", *network, "--out", out], spark)
+    expect({"u-1": rows["u.C"] + rows["u.A"], "u-2": rows["u.B"] * 2})
+    assert [r.domain for r in spark.read.parquet(f"{out}/failures").collect()] == ["u-3"]
+
+
+def test_sequences_and_coordinates_of_files(spark):
+    path, classes, pairs, out = (scratch(spark, f"cli-{k}") for k in ("pdb", "classes", "pairs", "out"))
+    line = "ATOM  %5d  CA  %s %s%4d    %8.3f%8.3f%8.3f"
+    rows = [line % (k, ("ALA", "GLY")[k % 2], "AB"[k // 3], k % 3 + 1, 1.0 * k, 0.0, 0.0) for k in range(6)]
+    spark.createDataFrame([("\n".join(rows),)], "value string").coalesce(1).write.text(path)
+    unit = readers.read_pdb(spark, path).first().unit
+    spark.createDataFrame([(f"{unit}\told\n{unit}\ta.1",)], "value string").coalesce(1).write.text(classes)
+    main(["sequences", "--structures", path, "--classes", classes, "--out", out], spark)
+    assert {r.header: r.sequence for r in readers.read_fasta(spark, out).collect()} == {f"{unit}|A|a.1": "AGA", f"{unit}|B|a.1": "GAG"}
+    main(["sequences", "--structures", path, "--out", out], spark)
+    assert {r.header for r in readers.read_fasta(spark, out).collect()} == {f"{unit}|A", f"{unit}|B"}
+    sinks.write_pairs(spark.createDataFrame([(unit, "other", 0.5)], readers.PAIRS), pairs)
+    main(["coordinates", "--pairs", pairs, "--structures", path, "--out", out], spark)
+    got = spark.read.parquet(f"{out}/records").collect()
+    assert [(r.domain, r.seq, [c[0] for c in r.cas]) for r in got] == [(unit, "AGAGAG", [0.0, 1.0, 2.0, 3.0, 4.0, 5.0])]
+    assert [r.domain for r in spark.read.parquet(f"{out}/failures").collect()] == ["other"]

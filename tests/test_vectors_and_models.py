@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from pairloom.functions import vectors as V
@@ -94,3 +95,27 @@ def test_augmenters_treat_arrays_alike(spark):
     assert all(r.a == r.b and sorted(r.a) == list(range(30)) for r in mixed)
     changed = sum(r.a != list(range(30)) for r in mixed)
     assert 30 < changed < 130
+
+
+def test_weights_go_through_a_file(tmp_path):
+    x = np.random.default_rng(0).normal(size=(5, 8))
+    for make in (lambda s: models.network("linear", 8, out=3, seed=s), lambda s: models.network("transformer", 8, heads=2, hidden=16, blocks=2, out=6, seed=s)):
+        one, two = make(1), make(2)
+        assert not np.allclose(one(x), two(x))
+        models.save_weights(one, str(tmp_path / "w.npz"))
+        assert np.array_equal(models.with_weights(two, models.load_weights(str(tmp_path / "w.npz")))(x), one(x))
+    with pytest.raises(ValueError, match="do not fit"):
+        models.with_weights(models.network("linear", 8), models.load_weights(str(tmp_path / "w.npz")))
+    with pytest.raises(ValueError, match="no network"):
+        models.network("other", 8)
+
+
+def test_top_cosine_in_blocks(spark):
+    r = np.random.default_rng(1)
+    x = r.normal(size=(90, 6))
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(q, k + 1): j for q in range(0, 90, 9) for k, j in enumerate([j for j in np.argsort(-(unit @ unit[q])) if j != q][:5])}
+    for block in (None, 3):
+        got = {(r["query"], r["rank"]): r["id"] for r in vectors.top_cosine(rows.where("id % 9 = 0"), rows, 5, block).collect()}
+        assert got == want
