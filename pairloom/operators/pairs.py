@@ -62,12 +62,9 @@ def attach(pairs: DataFrame, catalog: DataFrame, value: str = "embedding", key:
 
 def fold_slice(classes: DataFrame, fold: int, folds: int, order: str) -> DataFrame:
     """(class): the fold's slice of the distinct classes in order of `order`; what the folds do not divide is in none."""
-    distinct = classes.groupBy("class").agg(F.min(order).alias("__at"))
-    size = distinct.count() // folds
-    # positions by range: an order over all rows without one window over them
-    first = distinct.orderBy("__at", "class").limit((fold + 1) * size)
-    last = distinct.orderBy("__at", "class").limit(fold * size).select("class")
-    return first.select("class").join(last, "class", "left_anti")
+    placed = numbered(classes.groupBy("class").agg(F.min(order).alias("__first")), "__first", "class", into="__at")
+    size = placed.count() // folds
+    return placed.where(F.col("__at").between(fold * size, (fold + 1) * size - 1)).select("class")
 
 
 def fold_split(pairs: DataFrame, classes: DataFrame, fold: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -105,9 +102,20 @@ def sanitise(lines: DataFrame, catalog: DataFrame, separator: str = ",") -> tupl
     return kept, missing, counters
 
 
-def all_against_all(items: DataFrame, key: str, columns: list[str], block: int = 64) -> DataFrame:
+#: Items in a block of a join of all with all, about: a pair of blocks is a million pairs, whatever the table holds.
+PER_BLOCK = 1000
+
+
+def blocks(items: DataFrame, least: int = 8, per_block: int = PER_BLOCK) -> int:
+    """How many blocks the items make; small tables make `least`, to have work for all cores."""
+    return max(least, -(-items.count() // per_block))
+
+
+def all_against_all(items: DataFrame, key: str, columns: list[str], block: int | None = None) -> DataFrame:
     """Each unordered pair of items once, as columns of left and right: items are dealt to blocks by hash, and pairs of
-    blocks are joined on their number, so that the join is an equi-join over many tasks and never a nested loop."""
+    blocks are joined on their number, so that the join is an equi-join over many tasks and never a nested loop.
+    The number of blocks follows that of the items unless it is given."""
+    block = block or blocks(items)
     blocked = items.select(*columns).withColumn("__b", F.pmod(F.xxhash64(key), F.lit(block)).cast("int"))
     every = F.sequence(F.lit(0), F.lit(block - 1))
     left = blocked.select(*[F.col(c).alias(f"{c}_i") for c in columns], F.col("__b").alias("__bi"), F.explode(every).alias("__bj"))
@@ -115,11 +123,13 @@ def all_against_all(items: DataFrame, key: str, columns: list[str], block: int =
     return left.join(right, ["__bi", "__bj"]).where(F.col(f"{key}_i") < F.col(f"{key}_j")).drop("__bi", "__bj")
 
 
-def set_against_set(left: DataFrame, right: DataFrame, columns: list[str], block: int = 16) -> DataFrame:
-    """Each pair of a left and a right item, in block x block tasks."""
-    every = F.sequence(F.lit(0), F.lit(block - 1))
-    a = left.select(*[F.col(c).alias(f"{c}_i") for c in columns], F.pmod(F.xxhash64(*columns), F.lit(block)).cast("int").alias("__bi"), F.explode(every).alias("__bj"))
-    b = right.select(*[F.col(c).alias(f"{c}_j") for c in columns], F.explode(every).alias("__bi"), F.pmod(F.xxhash64(*columns), F.lit(block)).cast("int").alias("__bj"))
+def set_against_set(left: DataFrame, right: DataFrame, columns: list[str], block: int | None = None) -> DataFrame:
+    """Each pair of a left and a right item, in a task for each pair of their blocks, which follow the items unless given."""
+    of_left, of_right = (block or blocks(d) for d in (left, right))
+    dealt = lambda n: F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = left.select(*[F.col(c).alias(f"{c}_i") for c in columns], dealt(of_left).alias("__bi"), every(of_right).alias("__bj"))
+    b = right.select(*[F.col(c).alias(f"{c}_j") for c in columns], every(of_left).alias("__bi"), dealt(of_right).alias("__bj"))
     return a.join(b, ["__bi", "__bj"]).drop("__bi", "__bj")
 
 
@@ -157,3 +167,11 @@ def numbered(rows: DataFrame, *order, into: str = "position", parts: int | None
     counts = inside.groupBy("__part").agg(F.count("*").alias("n"))
     starts = counts.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__start"))
     return inside.join(F.broadcast(starts), "__part").withColumn(into, F.col("__start") + F.col("__at")).drop("__part", "__at", "__start")
+
+
+def first_rows(rows: DataFrame, n: int, *order, at_once: int = 10_000) -> DataFrame:
+    """The n first rows in order. Up to at_once rows each task keeps its n first and one task merges them; more are
+    taken by their place, so that no task holds n rows."""
+    if n <= at_once:
+        return rows.orderBy(*order).limit(n)
+    return numbered(rows, *order, into="__place").where(F.col("__place") < n).drop("__place")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.functions.scores import reservoir_bin
+from pairloom.operators.pairs import first_rows
 from pairloom.session import spool
 
 
@@ -33,7 +34,7 @@ def bin_counts(pairs: DataFrame, n: int, score: str = "score") -> DataFrame:
 def weighted_without_replacement(rows: DataFrame, n: int, weight: str, u: Column, ties: list[str]) -> DataFrame:
     """n rows drawn without replacement in proportion to weight: the smallest -ln(u) / weight. Weight 0 is never drawn."""
     keyed = rows.where(F.col(weight) > 0).withColumn("__key", -F.log(u) / F.col(weight))
-    return keyed.orderBy("__key", *ties).limit(n).drop("__key")
+    return first_rows(keyed, n, "__key", *ties).drop("__key")
 
 
 def weighted_with_replacement(rows: DataFrame, draws: DataFrame, weight: str, order: list[str], parts: int = 64) -> DataFrame:
@@ -62,9 +63,9 @@ def weighted_with_replacement(rows: DataFrame, draws: DataFrame, weight: str, or
 
 def subset(rows: DataFrame, n: int, key: Column, ties: list[str]) -> DataFrame:
     """n rows of smallest key: a uniform subset if the key is random."""
-    return rows.withColumn("__key", key).orderBy("__key", *ties).limit(n).drop("__key")
+    return first_rows(rows.withColumn("__key", key), n, "__key", *ties).drop("__key")
 
 
 def epoch(rows: DataFrame, size: int, order: list[str]) -> DataFrame:
     """The first `size` rows in order, or all if size is not positive."""
-    return rows.orderBy(*order).limit(size) if size > 0 else rows
+    return first_rows(rows, size, *order) if size > 0 else rows

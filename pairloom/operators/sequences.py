@@ -126,13 +126,13 @@ def _dealt(pairs: DataFrame) -> DataFrame:
 RESULT = "seq1 string, seq2 string, sequence_identity double"
 
 
-def identities(sequences: DataFrame, block: int = 16) -> DataFrame:
+def identities(sequences: DataFrame, block: int | None = None) -> DataFrame:
     """(seq1, seq2, sequence_identity) of each unordered pair of sequences, by alignment; seq1 is the smaller header."""
     rows = sequences.select("header", F.coalesce("sequence", F.lit("")).alias("sequence"))
     return _dealt(all_against_all(rows, "header", ["header", "sequence"], block)).mapInPandas(_align, RESULT)
 
 
-def cross_identities(left: DataFrame, right: DataFrame, block: int = 8) -> DataFrame:
+def cross_identities(left: DataFrame, right: DataFrame, block: int | None = None) -> DataFrame:
     """(seq1, seq2, sequence_identity) of each sequence of left with each of right."""
     rows = [d.select("header", F.coalesce("sequence", F.lit("")).alias("sequence")) for d in (left, right)]
     return _dealt(set_against_set(*rows, ["header", "sequence"], block)).mapInPandas(_align, RESULT)

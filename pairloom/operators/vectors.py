@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.functions import vectors as V
+from pairloom.operators.pairs import blocks, numbered
 
 
 def pooled(residues: DataFrame, how: str = "mean", valid: Column | None = None, key: str = "domain", vec: str = "vec") -> DataFrame:
@@ -29,8 +30,6 @@ def gathered(residues: DataFrame, key: str = "domain", pos: str = "pos", vec: st
 
 def batches(rows: DataFrame, size: int, *order) -> DataFrame:
     """rows with batch = place // size in the given total order."""
-    from pairloom.operators.pairs import numbered
-
     return numbered(rows, *order, into="__place").withColumn("batch", F.floor(F.col("__place") / size).cast("long")).drop("__place")
 
 
@@ -58,15 +57,18 @@ def cosine_pairs(pairs: DataFrame, into: str = "cosine") -> DataFrame:
     return pairs.withColumn(into, V.cosine(F.col("embedding_i"), F.col("embedding_j")))
 
 
-def top_cosine(queries: DataFrame, vectors: DataFrame, k: int, block: int = 16) -> DataFrame:
+def top_cosine(queries: DataFrame, vectors: DataFrame, k: int, block: int | None = None) -> DataFrame:
     """(query, rank, id, cosine): the k nearest by exact comparison of a stated query set with all rows, in blocks.
 
-    Each block keeps its k best before the shuffle, so a query's candidates are k rows a block.
+    Queries and vectors are dealt to blocks, which follow their numbers (`block` sets those of the vectors). Each block
+    keeps its k best before the shuffle, so a query's candidates are k rows a block.
     """
-    every = F.sequence(F.lit(0), F.lit(block - 1))
-    q = queries.select(F.col("id").alias("query"), V.doubles(F.col("embedding")).alias("__q"), F.explode(every).alias("__b"))
-    v = vectors.select("id", V.doubles(F.col("embedding")).alias("__v"), F.pmod(F.xxhash64("id"), F.lit(block)).cast("int").alias("__b"))
-    scored = q.join(v, "__b").where(F.col("query") != F.col("id")).select("query", "id", "__b", V.cosine(F.col("__q"), F.col("__v")).alias("cosine"))
+    of_queries, of_vectors = blocks(queries, 1), block or blocks(vectors)
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select(F.col("id").alias("query"), V.doubles(F.col("embedding")).alias("__q"), dealt(of_queries).alias("__bq"), every(of_vectors).alias("__b"))
+    v = vectors.select("id", V.doubles(F.col("embedding")).alias("__v"), every(of_queries).alias("__bq"), dealt(of_vectors).alias("__b"))
+    scored = q.join(v, ["__bq", "__b"]).where(F.col("query") != F.col("id")).select("query", "id", "__b", V.cosine(F.col("__q"), F.col("__v")).alias("cosine"))
     order = [F.desc("cosine"), F.col("id")]
     first = scored.withColumn("__r", F.row_number().over(Window.partitionBy("query", "__b").orderBy(*order))).where(F.col("__r") <= k)
     return first.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("rank") <= k).select("query", "rank", "id", "cosine")

@@ -49,29 +49,29 @@ def k7(spark, d):
 
 @query("j9_all_pairs", "SELECT a.header AS header_i, b.header AS header_j FROM sequences a JOIN sequences b ON a.header < b.header", "sequences")
 def j9(spark, d):
-    return pairs.all_against_all(v.sequences(spark, d), "header", ["header"], 8)
+    return pairs.all_against_all(v.sequences(spark, d), "header", ["header"])
 
 
 @query("j10_cross_pairs", "SELECT a.header AS header_i, b.header AS header_j FROM (SELECT * FROM sequences WHERE header < 'B0010') a, (SELECT * FROM sequences WHERE header >= 'B0010') b", "sequences")
 def j10(spark, d):
     rows = v.sequences(spark, d)
-    return pairs.set_against_set(rows.where("header < 'B0010'"), rows.where("header >= 'B0010'"), ["header"], 4)
+    return pairs.set_against_set(rows.where("header < 'B0010'"), rows.where("header >= 'B0010'"), ["header"])
 
 
 @query("u1_alignment_identity")
 def u1(spark, d):
-    return sequences.identities(v.sequences(spark, d), 8)
+    return sequences.identities(v.sequences(spark, d))
 
 
 @query("u1_cross_identity")
 def u1_cross(spark, d):
     rows = v.sequences(spark, d)
-    return sequences.cross_identities(rows.where("item_id % 50 = 0"), rows, 4)
+    return sequences.cross_identities(rows.where("item_id % 50 = 0"), rows)
 
 
 @query("a14_ungapped_identity", "SELECT a.header AS header_i, b.header AS header_j, round(CASE WHEN least(length(a.sequence), length(b.sequence)) = 0 THEN 0 ELSE list_sum(list_transform(range(1, least(length(a.sequence), length(b.sequence)) + 1), lambda k: (substr(a.sequence, k, 1) = substr(b.sequence, k, 1))::INTEGER))::DOUBLE / least(length(a.sequence), length(b.sequence)) END, 6) AS identity FROM sequences a JOIN sequences b ON a.header < b.header", "sequences")
 def a14(spark, d):
-    rows = pairs.all_against_all(v.sequences(spark, d), "header", ["header", "sequence"], 8)
+    rows = pairs.all_against_all(v.sequences(spark, d), "header", ["header", "sequence"])
     return rows.select("header_i", "header_j", F.round(sequences.ungapped_identity(F.col("sequence_i"), F.col("sequence_j")), 6).alias("identity"))
 
 

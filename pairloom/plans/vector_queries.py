@@ -237,8 +237,8 @@ def u5(spark, d):
 
     net = models.SequenceAutoencoder(seed=5)
     rows = v.sequences(spark, d).select("header", tokens(F.col("sequence")).alias("tokens"))
-    # the latent vector, and the symbol that decoding it finds likeliest at each of the first five places
-    both = lambda t: np.concatenate([net.encode(t), net.decode(net.encode(t), 5).argmax(axis=1)])
+    # the latent vector, and the symbol that decoding it finds likeliest at each place of the sequence
+    both = lambda t: np.concatenate([z := net.encode(t), net.decode(z, len(t)).argmax(axis=1)])
     return models.predict(rows, both, "header", "tokens")
 
 

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pairloom.functions import scores
-from pairloom.operators import pairs, sampling, weights
+from pairloom.operators import metrics, pairs, sampling, weights
 
 SCHEMA = "domain_i string, domain_j string, score float"
 
@@ -113,3 +113,30 @@ def test_weighted_sampling_follows_the_weights(spark):
 def test_learning_rate(spark):
     values = [r[0] for r in spark.range(0, 101, 10).select(scores.learning_rate(F.col("id"), 10, 100)).collect()]
     assert values[0] == 1e-6 and values[1] == 1.0 and math.isclose(values[-1], 0.0, abs_tol=1e-12)
+
+
+@pytest.mark.parametrize("n", [0, 7, 40, 60])
+def test_first_rows_by_place_and_at_once(spark, n):
+    rows = spark.range(50).select(F.col("id"), (F.col("id") * 37 % 11).alias("key")).repartition(5)
+    want = sorted(((k * 37 % 11, k) for k in range(50)))[:n]
+    for at_once in (0, 100):
+        got = pairs.first_rows(rows, n, "key", "id", at_once=at_once)
+        assert got.columns == ["id", "key"] and sorted((r.key, r.id) for r in got.collect()) == want
+
+
+def test_all_pairs_once_whatever_the_blocks(spark):
+    items = spark.createDataFrame([(f"k{k:02d}",) for k in range(23)], "key string")
+    assert [pairs.blocks(items), pairs.blocks(items, 1, 5), pairs.blocks(items.limit(0), 1)] == [8, 5, 1]
+    for block in (None, 1, 7):
+        every = [(r.key_i, r.key_j) for r in pairs.all_against_all(items, "key", ["key"], block).collect()]
+        assert len(every) == len(set(every)) == 23 * 22 // 2 and all(a < b for a, b in every)
+        both = [(r.key_i, r.key_j) for r in pairs.set_against_set(items, items.limit(4), ["key"], block).collect()]
+        assert len(both) == len(set(both)) == 23 * 4
+
+
+def test_areas_by_worker(spark):
+    rows = spark.range(600).select((F.col("id") % 3).alias("w"), (F.col("id") * 7919 % 5 < 2).cast("int").alias("label"), (F.col("id") * 104729 % 83).alias("pred"))
+    rows = rows.unionByName(spark.createDataFrame([(None, 1, 5)], "w long, label int, pred long"))
+    for area in (metrics.roc_auc, metrics.pr_auc):
+        got = {r[0]: r[1] for r in area(rows, "label", "pred", 4, ["w"]).collect()}
+        assert got == {k: pytest.approx(area(rows.where(F.col("w") == k), "label", "pred", 4).first()[0]) for k in range(3)}
