@@ -132,23 +132,58 @@ def read_pdb(spark: SparkSession, path: str) -> DataFrame:
 _CIF_WORD = re.compile(r"""'((?:[^']|'(?=\S))*)'(?=\s|$)|"((?:[^"]|"(?=\S))*)"(?=\s|$)|(\S+)""")
 
 
+def _cif_words(text: str) -> Iterator[tuple[bool, str]]:
+    """(bare, word) of an mmCIF text. Names and keywords are bare; what is quoted, or stands between lines that begin with
+    a semicolon, is a value, whatever it says. Comments are left out."""
+    block = None
+    for line in text.replace("\r\n", "\n").split("\n"):
+        if block is not None and not line.startswith(";"):
+            block.append(line)
+            continue
+        if line.startswith(";"):
+            if block is None:
+                block = [line[1:]]
+                continue
+            yield False, "\n".join(block)
+            block, line = None, line[1:]
+        for m in _CIF_WORD.finditer(line):
+            quoted = m[1] if m[1] is not None else m[2]
+            if quoted is None and m[3].startswith("#"):
+                break
+            yield (True, m[3]) if quoted is None else (False, quoted)
+
+
 def cif_rows(text: str, category: str) -> list[dict[str, str]]:
-    """The rows of one loop of an mmCIF text, as dicts of item names."""
-    names, rows, values, inside = [], [], [], False
+    """The rows of one category of an mmCIF text's first block that has it, as dicts of item names: those of a loop,
+    or one of single items. A last row without all its values is left out."""
     prefix = f"_{category}."
-    for line in text.split("\n"):
-        body = line.strip()
-        if body.startswith(prefix):
-            names.append(body.split()[0][len(prefix) :])
-            inside = True
-        elif inside:
-            if not body or body.startswith(("#", "loop_", "_", "data_")):
+    rows, single, names, values = [], {}, [], []
+    loop = heading = False  # within a loop; within its names
+    name = None  # of a single item whose value comes next
+    for bare, word in _cif_words(text):
+        if bare and (word.lower() == "loop_" or word.lower().startswith(("data_", "save_"))):
+            if word.lower() != "loop_" and (rows or single):
                 break
-            values += [next(g for g in m.groups() if g is not None) for m in _CIF_WORD.finditer(body)]
-            while len(values) >= len(names):
-                rows.append(dict(zip(names, values, strict=False)))
-                values = values[len(names) :]
-    return rows
+            loop = heading = word.lower() == "loop_"
+            names, values, name = [], [], None
+        elif bare and word.startswith("_"):
+            loop = loop and heading
+            if loop:
+                names.append(word)
+            else:
+                name = word
+        elif loop:
+            heading = False
+            if names and names[0].startswith(prefix):
+                values.append(word)
+                if len(values) == len(names):
+                    rows.append(dict(zip([n[len(prefix) :] for n in names], values, strict=True)))
+                    values = []
+        elif name is not None:
+            if name.startswith(prefix):
+                single[name[len(prefix) :]] = word
+            name = None
+    return rows or ([single] if single else [])
 
 
 def _cif_atoms(author: bool):

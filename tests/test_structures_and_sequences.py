@@ -161,6 +161,46 @@ def test_cif_quotes():
     assert readers.cif_rows(text, "atom_site") == [{"id": "1", "label_atom_id": "O5'"}, {"id": "2", "label_atom_id": "C A"}]
 
 
+def test_cif_categories():
+    text = """data_one
+# _atom_site.id 9
+_entry.id ONE
+_struct.title
+;a title of
+_atom_site.id and more
+;
+_struct.note 'it''s; said'
+loop_
+_other.id
+_other.text
+1
+;first line
+second line
+;
+2 "a b"
+loop_
+_atom_site.id
+_atom_site.label_atom_id
+_atom_site.note
+1 CA
+;x
+loop_
+;
+2 "_atom_site.id" . 3 CB
+_after.id 7
+data_two
+loop_
+_atom_site.id
+5
+"""
+    for t in (text, text.replace("\n", "\r\n")):
+        assert readers.cif_rows(t, "atom_site") == [{"id": "1", "label_atom_id": "CA", "note": "x\nloop_"}, {"id": "2", "label_atom_id": "_atom_site.id", "note": "."}]
+        assert readers.cif_rows(t, "other") == [{"id": "1", "text": "first line\nsecond line"}, {"id": "2", "text": "a b"}]
+        assert readers.cif_rows(t, "struct") == [{"title": "a title of\n_atom_site.id and more", "note": "it''s; said"}]
+        assert readers.cif_rows(t, "entry") == [{"id": "ONE"}] and readers.cif_rows(t, "after") == [{"id": "7"}] and readers.cif_rows(t, "none") == []
+    assert readers.cif_rows("", "atom_site") == readers.cif_rows("data_x\nloop_\n_atom_site.id\n", "atom_site") == []
+
+
 def test_empty_sets(spark):
     none = spark.createDataFrame([], "header string, sequence string")
     assert sequences.identities(none).count() == sequences.windows(none, 5, 2).count() == 0
