@@ -74,22 +74,53 @@ def top_cosine(queries: DataFrame, vectors: DataFrame, k: int, block: int | None
     return first.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("rank") <= k).select("query", "rank", "id", "cosine")
 
 
+def _placed(edges: DataFrame, length: Column) -> DataFrame:
+    """(domain, length, places): for each index below the length, in order, its struct (i, nbrs); nbrs is null if it is not listed."""
+    kinds = {f.name: f.dataType for f in edges.schema}
+    lists = edges.groupBy("domain").agg(F.collect_list(F.struct("i", "nbrs")).alias("rows")).withColumn("length", length.cast("int"))
+    listed = F.map_entries(F.map_from_entries("rows"))  # an index that is listed twice is an error
+    lists = lists.select("domain", "length", F.transform(listed, lambda e: F.struct(e["key"].alias("i"), e["value"].alias("nbrs"))).alias("rows"))
+    inside = F.filter("rows", lambda r: (r["i"] >= 0) & (r["i"] < F.col("length")))
+    every = F.when(F.col("length") > 0, F.sequence(F.lit(0), F.col("length") - 1)).otherwise(F.array().cast("array<int>"))
+    others = F.array_except(every, F.transform("rows", lambda r: r["i"].cast("int")))
+    unlisted = F.transform(others, lambda i: F.struct(i.cast(kinds["i"]).alias("i"), F.lit(None).cast(kinds["nbrs"]).alias("nbrs")))
+    return lists.select("domain", "length", F.array_sort(F.concat(inside, unlisted)).alias("places"))
+
+
+def _open(place: Column, length: Column, include_self: bool) -> Column:
+    """The indices that a row of a mask leaves open, in order; null for a row that sees all."""
+    nbrs, i = place["nbrs"], place["i"]
+    seen = F.transform(F.concat(nbrs, F.array(i)) if include_self else nbrs, lambda j: j.cast("int"))
+    return F.array_sort(F.array_distinct(F.filter(seen, lambda j: (j >= 0) & (j < length))))
+
+
+def _runs(seen: Column, length: Column, shut: bool | str, clear: bool | str) -> Column:
+    """A row of a mask as its runs of shut cells, each with the open cell after it: as many as it has open cells, and one."""
+    times = F.repeat if isinstance(shut, str) else F.array_repeat
+    shut, clear = F.lit(shut), F.lit(clear)
+    run = lambda a, b: F.concat(times(shut, b - a - 1), times(clear, (b < length).cast("int")))
+    listed = F.zip_with(F.concat(F.array(F.lit(-1)), seen), F.concat(seen, F.array(length)), run)
+    return F.when(seen.isNull(), F.array(times(clear, length))).otherwise(listed)
+
+
 def neighbour_mask(edges: DataFrame, length: Column, include_self: bool = True) -> DataFrame:
     """(domain, length, mask): the attention mask of neighbour lists (domain, i, nbrs), true where attention is shut.
 
     A listed row sees its neighbours (and itself); any other row sees all. Indices beyond the length count for nothing.
     length is a column of the grouped lists (column rows: array<struct<i, nbrs>>).
     """
-    lists = edges.groupBy("domain").agg(F.collect_list(F.struct("i", "nbrs")).alias("rows")).withColumn("length", length.cast("int"))
-    listed = F.map_from_entries(F.col("rows"))
-    place = F.sequence(F.lit(0), F.col("length") - 1)
-
-    def row(i: Column) -> Column:
-        nbrs = F.try_element_at(listed, i)
-        shut = lambda j: ~(F.array_contains(nbrs, j) | ((j == i) if include_self else F.lit(False)))
-        return F.transform(place, lambda j: F.when(nbrs.isNull(), False).otherwise(shut(j)))
-
-    return lists.select("domain", "length", F.transform(place, row).alias("mask"))
+    n = F.col("length")
+    seen = F.transform("places", lambda p: F.struct(_open(p, n, include_self).alias("seen")))
+    return _placed(edges, length).select("domain", "length", F.transform(seen, lambda p: F.flatten(_runs(p["seen"], n, True, False))).alias("mask"))
+
+
+def neighbour_mask_rows(edges: DataFrame, length: Column, include_self: bool = True) -> DataFrame:
+    """(domain, length, row, mask): the rows of `neighbour_mask` one by one, as texts of 1 (shut) and 0, so that no domain's
+    mask is held as a whole and no cell is computed by itself."""
+    # explode would add a filter on the places, which computes them, and the length for each of them, once more
+    rows = _placed(edges, length).select("domain", "length", F.explode_outer("places").alias("p")).where("p is not null")
+    rows = rows.select("domain", "length", F.col("p")["i"].alias("row"), _open(F.col("p"), F.col("length"), include_self).alias("__seen"))
+    return rows.select("domain", "length", "row", F.array_join(_runs(F.col("__seen"), F.col("length"), "1", "0"), "").alias("mask"))
 
 
 def default_length() -> Column:

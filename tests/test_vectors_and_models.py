@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -31,6 +32,22 @@ def test_neighbour_mask_shapes(spark):
     assert masks["m"][1].tolist() == [True, False, False, True, True, True, True]
 
 
+def test_neighbour_masks_of_long_domains(spark):
+    r, n = np.random.default_rng(2), 500
+    lists = {i: r.integers(-3, n + 40, 4).tolist() for i in range(1, n) if i % 7}
+    edges = spark.createDataFrame([("long", i, j) for i, j in lists.items()] + [("few", 1, None), ("few", 2, [1, None, 2]), ("none", 3, [])], "domain string, i int, nbrs array<int>")
+    length = F.when(F.col("domain") == "long", n + 2).when(F.col("domain") == "few", 4).otherwise(0)
+    for own in (True, False):
+        want = {("long", i): "".join("0" if i not in lists or j in lists[i] or (own and i == j) else "1" for j in range(n + 2)) for i in range(n + 2)}
+        want |= {("few", 0): "0000", ("few", 1): "0000", ("few", 2): "1001", ("few", 3): "0000"}
+        began = time.time()
+        rows = {(m.domain, m.row): m.mask for m in vectors.neighbour_mask_rows(edges, length, own).collect()}
+        whole = {m.domain: m["mask"] for m in vectors.neighbour_mask(edges, length, own).collect()}
+        assert rows == want and whole["none"] == []
+        assert {(d, i): "".join(str(int(x)) for x in m) for d, mask in whole.items() for i, m in enumerate(mask)} == want
+        assert time.time() - began < 60  # minutes when each cell looked up its row's list
+
+
 def test_running_size_stops_after_the_limit(spark):
     rows = spark.createDataFrame([("a", k, n) for k, n in enumerate([5, 6, 1])] + [("b", 0, 99), ("b", 1, 1)], "k string, o int, n int")
     assert sorted((r.k, r.o) for r in vectors.within_limit(rows, 10, "n", "k", "o").collect()) == [("a", 0), ("a", 1), ("b", 0)]
