@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairloom.functions import vectors as V
 from pairloom.operators.pairs import blocks, numbered
 
+#: Numbers compared exactly at once, and what a matrix product of unit vectors may be off by, many times over.
+AT_ONCE = 1 << 21
+SLACK = 1e-9
+
 
 def pooled(residues: DataFrame, how: str = "mean", valid: Column | None = None, key: str = "domain", vec: str = "vec") -> DataFrame:
     """(key, embedding): the mean or sum of a domain's vectors, place by place, of those that `valid` marks.
@@ -57,20 +65,78 @@ def cosine_pairs(pairs: DataFrame, into: str = "cosine") -> DataFrame:
     return pairs.withColumn(into, V.cosine(F.col("embedding_i"), F.col("embedding_j")))
 
 
+def _matrix(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as rows of doubles, with zeros after their end, and their sizes; -1 for null or empty ones and those that hold a null.
+
+    Each row is divided by a power of two, which changes no digit of a cosine and keeps squares within the range of doubles.
+    """
+    lists = lists.combine_chunks()
+    sizes, flat = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten()
+    x = np.zeros((len(sizes), max(sizes.max(initial=0), 1)))
+    x[np.arange(x.shape[1]) < sizes[:, None]] = pc.fill_null(flat.cast(pa.float64()), 0.0).to_numpy(zero_copy_only=False)
+    sizes[np.repeat(np.arange(len(sizes)), sizes)[pc.is_null(flat).to_numpy(zero_copy_only=False)]] = -1
+    sizes[sizes == 0] = -1
+    top = np.abs(x).max(axis=1, keepdims=True)
+    return np.ldexp(x, -np.frexp(np.where(np.isfinite(top), top, 1.0))[1]), sizes
+
+
+def _exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Cosines of rows, summed place by place: equal vectors have equal values, wherever they lie. NaN where one is zero."""
+    dot, q2, v2 = (np.cumsum(a * b, axis=1)[:, -1] for a, b in ((q, v), (q, q), (v, v)))
+    return np.clip(dot / np.sqrt(q2 * v2), -1.0, 1.0)
+
+
+def _nearest_in_block(q_ids: pa.Array, q_lists: pa.ChunkedArray, v_ids: pa.Array, v_lists: pa.ChunkedArray, k: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(query, vector, cosine), the first two as places: each query's k nearest vectors with another id, by cosine (NaN first,
+    null last), then by place. One matrix product finds who can be among them, and these are compared exactly."""
+    (q, q_sizes), (v, v_sizes) = _matrix(q_lists), _matrix(v_lists)
+    width = max(q.shape[1], v.shape[1])
+    q, v = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (q, v))
+    unit = lambda x: x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    with np.errstate(all="ignore"):
+        near = unit(q) @ unit(v).T
+        near[~np.isfinite(near)] = 2.0
+        near[(q_sizes[:, None] != v_sizes) | (q_sizes[:, None] < 0)] = -2.0
+        names = q_ids.to_numpy(zero_copy_only=False), v_ids.to_numpy(zero_copy_only=False)
+        first, after = (np.searchsorted(names[1], names[0], side) for side in ("left", "right"))
+        for row in np.flatnonzero(after > first):
+            near[row, first[row] : after[row]] = -np.inf
+        from_end = max(len(v) - k, 0)
+        least = np.partition(near, from_end, axis=1)[:, from_end, None]
+        who, at = np.nonzero((near >= least - SLACK) & (near > -np.inf))
+        step = max(1, AT_ONCE // width)
+        cosines = np.concatenate([_exact(q[who[i : i + step]], v[at[i : i + step]]) for i in range(0, len(who), step)] or [np.empty(0)])
+    missing = near[who, at] == -2.0
+    key = np.where(missing, -np.inf, np.where(np.isnan(cosines), np.inf, cosines))
+    order = np.lexsort((at, -key, who))
+    order = order[np.arange(len(order)) - np.searchsorted(who, who) < k]  # who is sorted already
+    return who[order], at[order], pa.array(cosines[order], pa.float64(), mask=missing[order], from_pandas=False)
+
+
 def top_cosine(queries: DataFrame, vectors: DataFrame, k: int, block: int | None = None) -> DataFrame:
     """(query, rank, id, cosine): the k nearest by exact comparison of a stated query set with all rows, in blocks.
 
     Queries and vectors are dealt to blocks, which follow their numbers (`block` sets those of the vectors). Each block
-    keeps its k best before the shuffle, so a query's candidates are k rows a block.
+    keeps its k best before the shuffle, so a query's candidates are k rows a block. A cosine is NaN, and comes first, if a
+    vector is zero; it is null, and comes last, if one is null, empty or holds a null, or their sizes differ.
     """
     of_queries, of_vectors = blocks(queries, 1), block or blocks(vectors)
     dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.select(F.col("id").alias("query"), V.doubles(F.col("embedding")).alias("__q"), dealt(of_queries).alias("__bq"), every(of_vectors).alias("__b"))
-    v = vectors.select("id", V.doubles(F.col("embedding")).alias("__v"), every(of_queries).alias("__bq"), dealt(of_vectors).alias("__b"))
-    scored = q.join(v, ["__bq", "__b"]).where(F.col("query") != F.col("id")).select("query", "id", "__b", V.cosine(F.col("__q"), F.col("__v")).alias("cosine"))
+    q = queries.where("id is not null").select("id", "embedding", dealt(of_queries).alias("bq"), every(of_vectors).alias("b"))
+    v = vectors.where("id is not null").select("id", "embedding", every(of_queries).alias("bq"), dealt(of_vectors).alias("b"))
+
+    def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.take(pc.sort_indices(right.column("id")))
+        q_ids, v_ids = (t.column("id").combine_chunks() for t in (left, right))
+        if not len(q_ids) or not len(v_ids):
+            return pa.table({"query": q_ids[:0], "id": v_ids[:0], "cosine": pa.array([], pa.float64())})
+        who, at, cosines = _nearest_in_block(q_ids, left.column("embedding"), v_ids, right.column("embedding"), k)
+        return pa.table({"query": q_ids.take(pa.array(who)), "id": v_ids.take(pa.array(at)), "cosine": cosines})
+
+    found = T.StructType([T.StructField("query", queries.schema["id"].dataType), T.StructField("id", vectors.schema["id"].dataType), T.StructField("cosine", T.DoubleType())])
+    first = q.groupBy("bq", "b").cogroup(v.groupBy("bq", "b")).applyInArrow(nearest, found)
     order = [F.desc("cosine"), F.col("id")]
-    first = scored.withColumn("__r", F.row_number().over(Window.partitionBy("query", "__b").orderBy(*order))).where(F.col("__r") <= k)
     return first.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("rank") <= k).select("query", "rank", "id", "cosine")
 
 

@@ -3,7 +3,9 @@ from __future__ import annotations
 import math
 import time
 
+import duckdb
 import numpy as np
+import oracle
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,3 +138,31 @@ def test_top_cosine_in_blocks(spark):
     for block in (None, 3):
         got = {(r["query"], r["rank"]): r["id"] for r in vectors.top_cosine(rows.where("id % 9 = 0"), rows, 5, block).collect()}
         assert got == want
+
+
+def test_top_cosine_equals_its_sql_on_copies_and_gaps(spark):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(40, 5)).astype(np.float32)[r.integers(0, 40, 300)] * 2.0 ** r.integers(-3, 4, (300, 1))
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    rows[60], rows[61], rows[90], rows[91] = (60, [0.0] * 5), (61, [0.0] * 5), (90, None), (91, None)
+    spark.createDataFrame(rows, "id long, embedding array<float>").createOrReplaceTempView("copies")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE copies (id BIGINT, embedding FLOAT[])")
+    con.executemany("INSERT INTO copies VALUES (?, ?)", rows)
+    cosine = "list_cosine_similarity(q.embedding::DOUBLE[], x.embedding::DOUBLE[])"
+    want = con.execute(f"SELECT query, rank, id, c FROM (SELECT q.id AS query, x.id, {cosine} AS c, row_number() OVER (PARTITION BY q.id ORDER BY {cosine} DESC, x.id) AS rank FROM copies q, copies x WHERE q.id % 15 = 0 AND q.id <> x.id) WHERE rank <= 7").fetchall()
+    table = spark.table("copies")
+    for block in (None, 1, 50):
+        assert oracle.rows(["query", "rank", "id", "c"], vectors.top_cosine(table.where("id % 15 = 0"), table, 7, block).collect()) == oracle.rows(["query", "rank", "id", "c"], want)
+    named = table.withColumn("id", F.concat(F.lit("v"), F.col("id").cast("string")))
+    few = vectors.top_cosine(named.where("id in ('v0', 'v90')"), named.where("id in ('v0', 'v2', 'v10', 'v90')"), 7).collect()
+    assert sorted((m["query"], m["id"]) for m in few) == [(q, i) for q in ("v0", "v90") for i in ("v0", "v10", "v2", "v90") if i != q]
+    assert [m["id"] for m in few if m["query"] == "v90"] == ["v0", "v10", "v2"] and all((m["cosine"] is None) == ("v90" in (m["query"], m["id"])) for m in few)
+
+
+def test_top_cosine_of_many_vectors(spark):
+    rows = spark.range(12000).select("id", F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.sin((F.col("id") % 9000 + 1) * i)).alias("embedding"))
+    began = time.time()
+    got = vectors.top_cosine(rows.where("id % 2 = 0"), rows, 3).collect()
+    assert len(got) == 18000 and time.time() - began < 60  # minutes when each pair was computed by array functions
+    assert {m["query"]: m["id"] for m in got if m["rank"] == 1 and m["query"] < 3000} == {k: k + 9000 for k in range(0, 3000, 2)}
