@@ -131,6 +131,8 @@ def f10(spark, d):
     return sinks.not_done(ids, spark.read.parquet(path), "vec_id")
 
 
+#: A serial has five columns; after 99,999 it begins at 0 again, so that what follows it stays in its own.
+SERIALS = 100_000
 PDB_LINE = "%-6s%5d %-4s%1s%3s %1s%4d    %8.3f%8.3f%8.3f"
 
 
@@ -138,7 +140,7 @@ def _pdb(spark, d):
     kind = F.when(F.col("hetero"), "HETATM").otherwise("ATOM")
     rows = v.atoms(spark, d).where("model = 1 and length(res_name) <= 3")
     alt = F.when(F.col("alt_loc") == ".", " ").otherwise(F.col("alt_loc"))
-    return rows.select(F.concat(F.lit("U"), "unit").alias("unit"), "ord", F.format_string(PDB_LINE, kind, F.col("ord"), F.col("atom_name"), alt, F.col("res_name"), F.col("chain"), F.col("res_id"), "x", "y", "z").alias("value"))
+    return rows.select(F.concat(F.lit("U"), "unit").alias("unit"), "ord", F.format_string(PDB_LINE, kind, F.col("ord") % SERIALS, F.col("atom_name"), alt, F.col("res_name"), F.col("chain"), F.col("res_id"), "x", "y", "z").alias("value"))
 
 
 @query("s13_pdb_atoms", "SELECT res_id, chain, res_name, atom_name, alt_loc, hetero, count(*) AS n, round(sum(round(x, 3)), 3) AS x FROM atoms WHERE model = 1 AND length(res_name) <= 3 GROUP BY ALL", "atoms")

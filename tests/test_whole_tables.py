@@ -57,3 +57,11 @@ def test_errors_are_isolated_in_whole_domains(spark, monkeypatch):
         QUERIES[name](spark, oracle.DATA)
         got = seen.pop()
         assert {k: n for k, n in got.items() if k not in "35"} == {k: n for k, n in sizes.items() if k not in "35"} and got["5"] == 0
+
+
+def test_pdb_serials_of_large_tables(spark, tmp_path):
+    for name in oracle.TABLES:
+        (tmp_path / f"{name}.parquet").symlink_to(f"{oracle.DATA}/{name}.parquet") if name != "embeddings" else None
+    rows = v.table(spark, oracle.DATA, "embeddings")
+    rows.withColumn("vec_id", rows.vec_id + 99_800).write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert oracle.differences(QUERIES["s13_pdb_atoms"], registry.oracle_sql()["s13_pdb_atoms"], spark, str(tmp_path)) == ""
